@@ -22,10 +22,11 @@ from .textblocks import U64, mix
 
 BITS_PER_ROW, MAX_BITS, PROBES = 16, 28, 2
 FLUSH = 1 << 21
+_SALTS = mix(np.arange(1, 9))
 
 
 def _positions(hashes: np.ndarray, bits: int, probes: int) -> np.ndarray:
-    return np.stack([mix(hashes.view(U64) + U64(0x9E3779B97F4A7C15) * U64(i + 1)) >> U64(64 - bits) for i in range(probes)])
+    return np.stack([mix(hashes.view(U64) + _SALTS[i]) >> U64(64 - bits) for i in range(probes)])
 
 
 def repeat_filter(rows: DataFrame, hash_column: str, n_rows: int, probes: int = PROBES, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS, least: int = 2) -> tuple[np.ndarray, int]:

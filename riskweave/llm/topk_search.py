@@ -115,8 +115,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_i
     limit = int(min(longest[0] * longest[1] * (1 + 1e-9) + 2, 2.0**62))  # Cauchy-Schwarz: no score lies beyond
     bits = (2 * limit).bit_length()
 
-    pairs = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long")).withColumnRenamed("ids", "cids").withColumnRenamed("mat", "cmat")
-    salted = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    pairs = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))).withColumnRenamed("ids", "cids").withColumnRenamed("mat", "cmat")
+    salted = packed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
 
     def scored(batches: Iterator[pa.RecordBatch], shift: int | None, before: int) -> Iterator[pa.RecordBatch]:
         """The histogram of one refinement, or with shift None the rows at or above each k-th score."""
