@@ -112,3 +112,16 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     alone = marked.where("not __again").select(*columns)
     again = marked.where("__again").groupBy(F.sha2(body.cast("binary"), 256)).agg(F.max_by(F.struct(*columns), F.struct(doc_id)).alias("__row"))
     return alone.union(again.select("__row.*"))
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """docs without the rows whose doc_id is among ids (one long column of the same name). Rows with a null doc_id stay.
+
+    Only rows that a Bloom filter of the ids may hold shuffle; the others pass straight through.
+    """
+    hashed = materialize(ids.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias(doc_id), F.xxhash64(F.col(doc_id).cast("long")).alias("h")))
+    columns = docs.columns
+    marked = docs.withColumn("__h", F.xxhash64(F.col(doc_id).cast("long")))
+    marked = marked.withColumn("__may", possibly_repeated(marked, "__h", repeat_filter(hashed, "h", hashed.count(), least=1)))
+    straight = marked.where("not __may").select(*columns)
+    return straight.union(marked.where("__may").join(hashed.select(doc_id).distinct(), doc_id, "left_anti").select(*columns))

@@ -13,10 +13,11 @@ A document's set holds its distinct word shingles as 64-bit hashes; two document
    subclass is a signature: 1 + B shared shingles leave a shared rare one or two of one subclass. B
    grows with the set size (one B per band of sizes that can link), so a set has about as many
    signatures as shingles however frequent these are. Unique shingles need no signature.
-3. Sets that share a signature are candidates. Per signature all are verified against one leader, twice
-   with other leaders; then all pairs of a signature that are not yet connected are verified too, so
-   no link is lost and a large group of near copies costs one comparison a member, not all pairs.
-4. Components of the verified links. Equal sets count as one class throughout.
+3. Sets that share a signature are candidates. Per signature all are verified against two leaders;
+   then whatever shares a signature and is still not connected is verified too: pair by pair where few
+   sets share it, else each such set against indexed blocks of the others. No connection is lost, and
+   a large group of near copies costs a few comparisons a member, not all pairs.
+4. Components of the verified links. Equal texts are read once, equal sets count as one class.
 """
 
 from __future__ import annotations
@@ -25,16 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, pow2_at_least, text_bytes
 from .components import connected_components
+from .exact_dedup import possibly_repeated, repeat_filter
 from .textblocks import U64, mix, shingle_sets
 
 FREQUENT = 32  #: a shingle counted more often is indexed in combinations
 MAX_BITS = 27  #: log2 of the size of each bit array: 16 MB at most
 FLUSH = 1 << 22
+SMALL_BUCKET = 16  #: sets of a signature up to which all its unconnected pairs are listed
+BLOCK_TOKENS, BLOCK_QUERIES = 200_000, 1000
 _SOLO, _SUB, _SET = U64(0x51ED270B9F2B5A1D), U64(0x2545F4914F6CDD1D), U64(0x9FB21C651E98DF25)
 
 
@@ -136,10 +140,10 @@ def signatures(tokens: np.ndarray, kind: np.ndarray, bounds: np.ndarray, percent
     return np.unique(np.concatenate(out))
 
 
-def shingled(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, bitmap_bits: int, bitmaps: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, ckey, sigs, tokens): sigs and tokens only where a set has signatures and is the first of its class in its task."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmaps)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ckey", pa.int64()), ("sigs", pa.list_(pa.int64())), ("tokens", pa.binary())])
+def shingled(texts: DataFrame, width: int, percent: int, bitmap_bits: int, bitmaps: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(sha, n, ckey, sigs, tokens) of (sha, text): sigs and tokens only where a set has signatures and is the first of its class in its task."""
+    held = texts.sparkSession.sparkContext.broadcast(bitmaps)
+    schema = pa.schema([("sha", pa.binary()), ("n", pa.int64()), ("ckey", pa.int64()), ("sigs", pa.list_(pa.int64())), ("tokens", pa.binary())])
     bounds = _levels(percent=percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +174,7 @@ def shingled(docs: DataFrame, doc_id: str, text: str, width: int, percent: int,
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id long, n long, ckey long, sigs array<long>, tokens binary")
+    return texts.select("sha", "text").mapInArrow(run, "sha binary, n long, ckey long, sigs array<long>, tokens binary")
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -191,53 +195,111 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, frequent: int = FREQUENT, scale_bytes: int | None = None) -> DataFrame:
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, sha) of every row, (sha, text) once a text). Only texts that a Bloom filter calls possibly repeated shuffle."""
+    body = F.coalesce("text", F.lit(""))
+    docs = docs.select("doc_id", body.alias("text"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("sha"), F.xxhash64(body).alias("h"))
+    rows = materialize(docs.select("doc_id", "sha", "h"))
+    docs = docs.withColumn("again", possibly_repeated(docs, "h", repeat_filter(rows, "h", rows.count())))
+    again = docs.where("again").groupBy("sha").agg(F.first("text").alias("text"))
+    return rows.select("doc_id", "sha"), docs.where("not again").select("sha", "text").union(again)
+
+
+def signature_rows(table: DataFrame) -> DataFrame:
+    """(sig, ckey, n) of every signature that at least two sets have, partitioned by signature."""
+    rows = table.where("sigs is not null").select(F.explode("sigs").alias("sig"), "ckey", "n").repartition("sig").distinct()
+    return rows.withColumn("members", F.count("*").over(Window.partitionBy("sig"))).where("members > 1").select("sig", "ckey", "n")
+
+
+def leader_pairs(members: DataFrame, seeds: tuple[int, ...], percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of a signature's leaders, its first sets by seeded hashes, with its other sets, where sizes allow a link."""
+    rows, w = members, Window.partitionBy("sig")
+    for seed in seeds:
+        rows = rows.withColumn(f"lead{seed}", F.min(F.struct(F.xxhash64(F.lit(seed), "ckey"), F.col("ckey").alias("a"), F.col("n").alias("na"))).over(w))
+    pairs = rows.select("ckey", "n", F.explode(F.array(*(f"lead{s}" for s in seeds))).alias("x")).select("x.*", "ckey", "n")
+    pairs = pairs.where("a <> ckey").where(F.least("na", "n") * 100 >= F.greatest("na", "n") * percent)
+    return pairs.select(F.least("a", "ckey").alias("a"), F.greatest("a", "ckey").alias("b")).distinct()
+
+
+def family_links(rows: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets of different labels in the same large bucket; one for each set and label it links to.
+
+    rows: (sig, ckey, n, label). Sets that share buckets, directly or by others, form a family. All sets
+    of a family but those of its most frequent label are looked up in all its sets, which are dealt to
+    blocks of bounded size with an index of their shingles. So a family of near copies meets as queries
+    times blocks, not as pairs.
+    """
+    head = rows.groupBy("sig").agg(F.min("ckey").alias("b"))
+    family = connected_components(rows.select("sig", F.col("ckey").alias("a")).join(head, "sig").select("a", "b").distinct())
+    sets = materialize(rows.select("ckey", "n", "label").distinct().join(family.withColumnRenamed("node", "ckey").withColumnRenamed("component", "family"), "ckey"))
+    top = sets.groupBy("family", "label").agg(F.count("*").alias("k")).groupBy("family").agg(F.max(F.struct("k", "label")).alias("x")).select("family", F.col("x.label").alias("top"))
+    size = sets.join(top, "family").groupBy("family", "top").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("long").alias("blocks"), F.ceil(F.count_if(F.col("label") != F.col("top")) / BLOCK_QUERIES).cast("long").alias("lots"))
+    full = sets.join(size, "family").join(tokens, "ckey")
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    lots = F.pmod(F.xxhash64(F.lit("lot"), "ckey"), F.col("lots"))
+    blocks = F.pmod(F.xxhash64(F.lit("block"), "ckey"), F.col("blocks"))
+    full = full.where("lots > 0")
+    target = full.withColumn("block", blocks).withColumn("lot", span("lots")).select("family", "block", "lot", "ckey", "label", "tokens")
+    query = full.where("label <> top").withColumn("lot", lots).withColumn("block", span("blocks"))
+    query = query.select(*(F.col(c).alias(f"q_{c}") for c in ("family", "block", "lot", "ckey", "label", "tokens")))
+
+    def look_up(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            sets = [np.frombuffer(x.as_buffer(), U64) for x in left["tokens"]]
+            ids, labels = left["ckey"].to_numpy(), left["label"].to_numpy()
+            lens = np.array([len(x) for x in sets])
+            flat = np.concatenate(sets)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], np.repeat(np.arange(len(sets)), lens)[order]
+            for a, label, x in zip(right["q_ckey"].to_pylist(), right["q_label"].to_pylist(), right["q_tokens"], strict=True):
+                x = np.frombuffer(x.as_buffer(), U64)
+                lo, hi = np.searchsorted(flat, x, side="left"), np.searchsorted(flat, x, side="right")
+                many = hi - lo
+                at = np.repeat(hi - np.cumsum(many), many) + np.arange(many.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                hit = np.flatnonzero((100 * both >= percent * (lens + len(x) - both)) & (labels != label))
+                _, one = np.unique(labels[hit], return_index=True)
+                found += [(a, int(ids[i])) for i in hit[one]]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    keys = ["family", "block", "lot"]
+    return target.groupBy(*keys).cogroup(query.groupBy(*(f"q_{c}" for c in keys))).applyInArrow(look_up, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
-    Null, empty and white-space texts have n_shingles 0 and are linked with nothing. Rows with a null
-    doc_id are returned with their n_shingles and a null component_id unless another member of their
-    class or component has an id. Repeated rows stay repeated. Other columns are ignored.
+    Null, empty and white-space texts have n_shingles 0 and are linked with nothing: component_id is
+    their own doc_id. A null doc_id is no component_id unless no member of the component has another.
+    Repeated rows stay repeated. Other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scale = text_bytes(docs) if scale_bytes is None else scale_bytes
+    rows, texts = distinct_texts(docs)
+    scale = text_bytes(docs)
     bitmap_bits = min(MAX_BITS, max(16, pow2_at_least(scale).bit_length() - 1))
     bucket_bits = min(20, bitmap_bits - 3, max(4, pow2_at_least(scale / (4 << 20)).bit_length() - 1))
-    bitmaps = count_shingles(docs, "text", width, bucket_bits, bitmap_bits, frequent)
-    table = materialize(shingled(docs, "doc_id", "text", width, percent, bitmap_bits, bitmaps))
-    tokens = table.where("tokens is not null").groupBy("ckey").agg(F.first("tokens").alias("tokens"))
-
-    rows = table.where("sigs is not null").select("ckey", "n", F.explode("sigs").alias("sig")).distinct()
-    shared = rows.groupBy("sig").agg(F.count("*").alias("members")).where("members > 1").select("sig")
-    members = materialize(rows.join(shared, "sig"))
-    label = members.select("ckey").distinct().withColumn("label", F.col("ckey"))
-    done = spark.createDataFrame([], "a long, b long")
-    links = done
-    either = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    for seed in (1, 2):
-        tagged = members.join(label, "ckey")
-        order = F.xxhash64(F.lit(seed), "ckey")
-        lead = tagged.groupBy("sig").agg(F.min(F.struct(order.alias("o"), F.col("ckey").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig", "x.a", "x.na", "x.la")
-        pairs = tagged.select("sig", F.col("ckey").alias("b"), F.col("n").alias("nb"), "label").join(lead, "sig").where("label <> la").where(either).select("a", "b").distinct()
-        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"))
-        found = materialize(verified(pairs, tokens, percent))
-        done = done.union(pairs).union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        links = links.union(found)
-        # one hop to the smallest label among the leaders a set is linked to: equal labels mean connected
-        near = found.join(label.withColumnRenamed("ckey", "a"), "a").groupBy(F.col("b").alias("ckey")).agg(F.min("label").alias("other"))
-        label = materialize(label.join(near, "ckey", "left").select("ckey", F.least("label", "other").alias("label")))
-    tagged = members.join(label, "ckey")
-    open_sigs = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    rest = tagged.join(open_sigs, "sig")
-    left = rest.select("sig", F.col("ckey").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = rest.select("sig", F.col("ckey").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = left.join(right, "sig").where("la < lb").where(either).select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-    links = links.union(verified(materialize(pairs), tokens, percent))
-
-    classes = table.where("n > 0").groupBy("ckey", "n").agg(F.min("doc_id").alias("rep"))
-    named = classes.select("ckey", "rep")
-    edges = links.join(named.withColumnRenamed("ckey", "a").withColumnRenamed("rep", "ra"), "a").join(named.withColumnRenamed("ckey", "b").withColumnRenamed("rep", "rb"), "b").where("ra is not null and rb is not null").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    groups = connected_components(edges)
-    found = classes.join(groups, F.col("rep") == F.col("node"), "left").select("ckey", "n", F.coalesce("component", "rep").alias("found"))
-    out = table.select("doc_id", "n", "ckey").join(found, ["ckey", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
+    bitmaps = count_shingles(texts, "text", width, bucket_bits, bitmap_bits, frequent)
+    table = materialize(shingled(texts, width, percent, bitmap_bits, bitmaps))
+    members = materialize(signature_rows(table))
+    tokens = table.where("tokens is not null").join(members.select("ckey").distinct(), "ckey", "left_semi").groupBy("ckey").agg(F.first("tokens").alias("tokens"))
+
+    pairs = materialize(leader_pairs(members, (1, 2), percent))
+    links = materialize(verified(pairs, tokens, percent))
+    label = materialize(members.select("ckey", "n").distinct().join(connected_components(links).withColumnRenamed("node", "ckey"), "ckey", "left").select("ckey", "n", F.coalesce("component", "ckey").alias("label")))
+    w = Window.partitionBy("sig")
+    unsettled = members.select("sig", "ckey").join(label, "ckey").withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).withColumn("size", F.count("*").over(w)).where("lo < hi")
+    unsettled = materialize(unsettled.select("sig", "ckey", "n", "label", "size"))
+    few = unsettled.where(F.col("size") <= SMALL_BUCKET)
+    left = few.select("sig", F.col("ckey").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    right = few.select("sig", F.col("ckey").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    more = left.join(right, "sig").where("a < b and la <> lb").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    more = materialize(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    links = links.union(verified(more, tokens, percent)).union(family_links(unsettled.where(F.col("size") > SMALL_BUCKET), tokens, percent))
+    label = connected_components(links)
+
+    out = rows.join(table.select("sha", "n", "ckey"), "sha").join(label.withColumnRenamed("node", "ckey"), "ckey", "left").withColumn("group", F.coalesce("component", "ckey"))
+    out = materialize(out.select("doc_id", "n", "group"))
+    first = out.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    out = out.join(first, "group", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

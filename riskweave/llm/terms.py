@@ -46,7 +46,7 @@ def term_rows(texts: pa.Array, terms: np.ndarray, classes=LETTERS_FOLDED) -> tup
     return np.concatenate(docs), np.concatenate(found)
 
 
-def telling_terms(sample: DataFrame, least_z: float = 5.0, max_terms: int = 2000, classes=LETTERS_FOLDED) -> np.ndarray:
+def telling_terms(sample: DataFrame, least_z: float = 4.0, max_terms: int = 2000, classes=LETTERS_FOLDED) -> np.ndarray:
     """Sorted hashes of the words whose share of documents differs most between a label and the rest (log odds ratio over its standard error)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
