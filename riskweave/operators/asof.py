@@ -53,10 +53,9 @@ def distinct_deltas(rows: DataFrame, name: str, window: int | None = None) -> Da
     """(key, at, name): +1 when a peer starts to count as seen (in the last `window` ms, or ever), -1 when it stops."""
     if window is None:
         return rows.groupBy("key", "peer").agg(F.min("at").alias("at")).select("key", "at", F.lit(1).cast("long").alias(name))
-    times = rows.select("key", "peer", "at").distinct()
     after = F.lead("at").over(Window.partitionBy("key", "peer").orderBy("at"))
-    ends = F.least(F.coalesce(after, F.col("at") + window), F.col("at") + window)
-    both = F.explode(F.array(F.struct(F.col("at"), F.lit(1).cast("long").alias(name)), F.struct(ends.alias("at"), F.lit(-1).cast("long").alias(name))))
+    times = rows.select("key", "peer", "at").distinct().withColumn("ends", F.least(F.coalesce(after, F.col("at") + window), F.col("at") + window))
+    both = F.explode(F.array(F.struct(F.col("at"), F.lit(1).cast("long").alias(name)), F.struct(F.col("ends").alias("at"), F.lit(-1).cast("long").alias(name))))
     return times.select("key", both.alias("x")).select("key", "x.*")
 
 

@@ -70,7 +70,7 @@ COVERED_SQL = """, truncated AS (
   SELECT address, hash = 0 AS truncated FROM (SELECT DISTINCT address, CAST(substr(address, 2) AS BIGINT) % 3 AS hash FROM legs)
 ), cover AS (
   SELECT t.address, truncated, last_fetched, CASE WHEN truncated THEN last_fetched ELSE 4611686018427387904 END AS complete_until
-  FROM truncated t LEFT JOIN (SELECT address, max(block_time) - 30 * 86400000 AS last_fetched FROM legs GROUP BY address) USING (address)
+  FROM truncated t LEFT JOIN (SELECT address, max(block_time) - 2592000000 AS last_fetched FROM legs GROUP BY address) USING (address)
 )"""
 
 
@@ -98,12 +98,12 @@ DEST_SQL = f"""
     count(*) FILTER (side = 'in') AS dest_inbound_count, coalesce(CAST(sum(l.cents) FILTER (side = 'in') AS BIGINT), 0) AS dest_inbound_cents_all,
     count(*) FILTER (side = 'out') AS dest_outbound_count, coalesce(CAST(sum(l.cents) FILTER (side = 'out') AS BIGINT), 0) AS dest_outbound_cents_all,
     count(DISTINCT peer) FILTER (side = 'in') AS dest_senders_all, count(DISTINCT peer) FILTER (side = 'out') AS dest_distinct_out,
-    coalesce(CAST(sum(l.cents) FILTER (side = 'in' AND block_time >= event_time - 7 * {DAY_MS}) AS BIGINT), 0) AS dest_inbound_cents_7d,
-    count(*) FILTER (side = 'in' AND block_time >= event_time - 7 * {DAY_MS}) AS dest_inbound_count_7d,
-    coalesce(CAST(sum(l.cents) FILTER (side = 'in' AND block_time >= event_time - 30 * {DAY_MS}) AS BIGINT), 0) AS dest_inbound_cents_30d,
+    coalesce(CAST(sum(l.cents) FILTER (side = 'in' AND block_time >= event_time - {7 * DAY_MS}) AS BIGINT), 0) AS dest_inbound_cents_7d,
+    count(*) FILTER (side = 'in' AND block_time >= event_time - {7 * DAY_MS}) AS dest_inbound_count_7d,
+    coalesce(CAST(sum(l.cents) FILTER (side = 'in' AND block_time >= event_time - {30 * DAY_MS}) AS BIGINT), 0) AS dest_inbound_cents_30d,
     count(DISTINCT peer) FILTER (side = 'in' AND block_time >= event_time - {DAY_MS}) AS dest_senders_1d,
-    count(DISTINCT peer) FILTER (side = 'in' AND block_time >= event_time - 7 * {DAY_MS}) AS dest_senders_7d,
-    count(DISTINCT peer) FILTER (side = 'in' AND block_time >= event_time - 30 * {DAY_MS}) AS dest_senders_30d,
+    count(DISTINCT peer) FILTER (side = 'in' AND block_time >= event_time - {7 * DAY_MS}) AS dest_senders_7d,
+    count(DISTINCT peer) FILTER (side = 'in' AND block_time >= event_time - {30 * DAY_MS}) AS dest_senders_30d,
     CAST(min(block_time) AS BIGINT) AS dest_first_seen
   FROM ev e LEFT JOIN legs l ON l.address = e.destination AND l.block_time < e.event_time GROUP BY e.event_id"""
 PAYEE_SQL = "SELECT event_id, peer, sum(l.cents) AS v FROM ev e JOIN legs l ON l.address = e.destination AND l.side = 'out' AND l.block_time < e.event_time GROUP BY 1, 2"
@@ -116,7 +116,7 @@ def g1_destination_block(spark, sf_dir):
 
 
 def _sum(what: str, days: int | None, side: str) -> str:
-    return f"coalesce(CAST(sum({what}) FILTER (side = '{side}'" + (f" AND block_time >= event_time - {days} * {DAY_MS}" if days else "") + ") AS BIGINT), 0)"
+    return f"coalesce(CAST(sum({what}) FILTER (side = '{side}'" + (f" AND block_time >= event_time - {days * DAY_MS}" if days else "") + ") AS BIGINT), 0)"
 
 
 SENDER_SQL = f"""
@@ -128,10 +128,10 @@ SENDER_SQL = f"""
     count(DISTINCT peer) FILTER (side = 'out') AS sender_distinct_dests, count(DISTINCT peer) AS sender_distinct_counterparties,
     count(*) FILTER (side = 'out' AND block_time >= event_time - 3600000) AS sender_burst_1h,
     count(*) FILTER (side = 'out' AND block_time >= event_time - {DAY_MS}) AS sender_burst_24h,
-    count(*) FILTER (side = 'out' AND block_time >= event_time - 7 * {DAY_MS}) AS sender_burst_7d,
+    count(*) FILTER (side = 'out' AND block_time >= event_time - {7 * DAY_MS}) AS sender_burst_7d,
     {_sum('l.cents', 7, 'out')} AS sender_outflow_cents_7d, {_sum('l.cents', 30, 'out')} AS sender_outflow_cents_30d, {_sum('l.cents', 7, 'in')} AS sender_recent_inflow_cents_7d,
-    count(DISTINCT peer) FILTER (side = 'out' AND block_time >= event_time - 7 * {DAY_MS}) AS sender_distinct_dests_7d,
-    count(DISTINCT peer) FILTER (side = 'out' AND block_time >= event_time - 30 * {DAY_MS}) AS sender_distinct_dests_30d,
+    count(DISTINCT peer) FILTER (side = 'out' AND block_time >= event_time - {7 * DAY_MS}) AS sender_distinct_dests_7d,
+    count(DISTINCT peer) FILTER (side = 'out' AND block_time >= event_time - {30 * DAY_MS}) AS sender_distinct_dests_30d,
     CAST(max(l.cents) FILTER (side = 'out') AS BIGINT) AS sender_max_out_cents, CAST(max(block_time) FILTER (side = 'out') AS BIGINT) AS sender_last_out,
     CAST(min(block_time) AS BIGINT) AS sender_first_seen
   FROM ev e LEFT JOIN legs l ON l.address = e.sender AND l.block_time < e.event_time GROUP BY e.event_id"""
@@ -145,7 +145,7 @@ def g2_sender_block(spark, sf_dir):
 
 PAIR_SQL = f"""
   SELECT e.event_id, count(l.tx_hash) AS sender_prior_sends_to_dest, coalesce(CAST(sum(l.cents) AS BIGINT), 0) AS pair_prior_cents,
-    coalesce(CAST(sum(l.cents) FILTER (block_time >= event_time - 7 * {DAY_MS}) AS BIGINT), 0) AS pair_outflow_cents_7d,
+    coalesce(CAST(sum(l.cents) FILTER (block_time >= event_time - {7 * DAY_MS}) AS BIGINT), 0) AS pair_outflow_cents_7d,
     CAST(max(l.cents) AS BIGINT) AS pair_max_prior_cents, CAST(min(l.cents) AS BIGINT) AS pair_min_prior_cents,
     CAST(max(block_time) AS BIGINT) AS pair_last, CAST(min(block_time) AS BIGINT) AS pair_first,
     CAST(arg_min(l.cents, (block_time, l.tx_hash)) AS BIGINT) AS pair_first_cents

@@ -81,18 +81,18 @@ TX_SQL = """
 lines AS (
   SELECT 'C' || o_custkey AS customer, 'S' || l_suppkey AS supplier, l_suppkey, l_returnflag,
          CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT) AS paid,
-         epoch_ms(l_shipdate) + (l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % 86400 * 1000 AS at,
+         epoch_ms(l_shipdate) + (l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % 86400 * 1000 AS paid_at,
          concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT), l_returnflag) AS line
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), tx AS (
-  SELECT md5('p' || line) AS tx_hash, customer AS from_address, supplier AS to_address, paid AS cents, at AS block_time FROM lines
-  UNION ALL SELECT md5('r' || line), supplier, customer, paid * 50 // 100, at + 3 * 86400000 FROM lines WHERE l_returnflag = 'R'
-  UNION ALL SELECT md5('f' || line), supplier, 'H' || s_nationkey, paid * 40 // 100, at + 86400000 FROM lines JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'A'
+  SELECT md5('p' || line) AS tx_hash, customer AS from_address, supplier AS to_address, paid AS cents, paid_at AS block_time FROM lines
+  UNION ALL SELECT md5('r' || line), supplier, customer, paid * 50 // 100, paid_at + 3 * 86400000 FROM lines WHERE l_returnflag = 'R'
+  UNION ALL SELECT md5('f' || line), supplier, 'H' || s_nationkey, paid * 40 // 100, paid_at + 86400000 FROM lines JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'A'
 ), legs AS (
   SELECT from_address AS address, to_address AS peer, 'out' AS side, cents, block_time, tx_hash FROM tx WHERE cents > 0
   UNION ALL SELECT to_address, from_address, 'in', cents, block_time, tx_hash FROM tx WHERE cents > 0
 ), ev AS (
-  SELECT md5('p' || line) AS event_id, customer AS sender, supplier AS destination, paid AS cents, at AS event_time FROM lines WHERE paid > 0
+  SELECT md5('p' || line) AS event_id, customer AS sender, supplier AS destination, paid AS cents, paid_at AS event_time FROM lines WHERE paid > 0
 ), reports AS (
   SELECT 'S' || s_suppkey AS address, 'tron' AS chain, 'issuer' AS source, CAST(852076800000 + s_suppkey * 37 % 700 * 86400000 AS BIGINT) AS reported_at, 'issuer-list' AS category, 1.0 AS weight FROM supplier WHERE s_suppkey % 7 = 0
   UNION ALL SELECT 'S' || s_suppkey, 'tron', 'community', NULL, 'community-list', 0.5 FROM supplier WHERE s_suppkey % 5 = 0
