@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,11 +72,11 @@ def repeat_filter(rows: DataFrame, hash_column: str, n_rows: int, probes: int =
 def possibly_repeated(df: DataFrame, hash_column: str, built: tuple[np.ndarray, int], probes: int = PROBES) -> Column:
     held = df.sparkSession.sparkContext.broadcast(built)
 
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def test(h: pa.Array) -> pa.Array:
         array, bits = held.value
-        at = _positions(h.to_numpy(np.int64), bits, probes).astype(np.int64)
-        return pd.Series(((array[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0))
+        at = _positions(h.to_numpy(zero_copy_only=False).astype(np.int64), bits, probes).astype(np.int64)
+        return pa.array(((array[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0))
 
     return test(F.col(hash_column))
 

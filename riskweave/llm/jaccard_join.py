@@ -36,7 +36,7 @@ from .textblocks import U64, mix, shingle_sets
 
 FREQUENT = 32  #: a shingle counted more often is indexed in combinations
 MAX_BITS = 27  #: log2 of the size of each bit array: 16 MB at most
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 SMALL_BUCKET = 16  #: sets of a signature up to which all its unconnected pairs are listed
 BLOCK_TOKENS, BLOCK_QUERIES = 200_000, 1000
 _SOLO, _SUB, _SET = U64(0x51ED270B9F2B5A1D), U64(0x2545F4914F6CDD1D), U64(0x9FB21C651E98DF25)
