@@ -53,3 +53,11 @@ def pow2_at_least(x: float) -> int:
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts: the scale from which partition and shard counts follow."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()["b"])
+
+
+def spare_name(columns: list[str], name: str) -> str:
+    """`name`, or a longer one that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

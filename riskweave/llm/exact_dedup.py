@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pow2_at_least
+from .common import materialize, pow2_at_least, spare_name
 from .textblocks import U64, mix
 
 BITS_PER_ROW, MAX_BITS, PROBES = 16, 28, 2
@@ -106,11 +106,14 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     hashes = materialize(docs.select(F.xxhash64(body).alias("h")))
     built = repeat_filter(hashes, "h", hashes.count())
     columns = docs.columns
-    marked = docs.withColumn("__h", F.xxhash64(body))
-    marked = marked.withColumn("__again", possibly_repeated(marked, "__h", built))
-    alone = marked.where("not __again").select(*columns)
-    again = marked.where("__again").groupBy(F.sha2(body.cast("binary"), 256)).agg(F.max_by(F.struct(*columns), F.struct(doc_id)).alias("__row"))
-    return alone.union(again.select("__row.*"))
+    h, again, row = (spare_name(columns, c) for c in ("h", "again", "row"))
+    marked = docs.withColumn(h, F.xxhash64(body))
+    marked = marked.withColumn(again, possibly_repeated(marked, h, built))
+    alone = marked.where(~F.col(again)).select(*columns)
+    whole = F.struct(*columns)
+    best = F.max_by(whole, F.struct(F.col(doc_id), F.xxhash64(F.to_json(whole))))
+    kept = marked.where(F.col(again)).groupBy(F.sha2(body.cast("binary"), 256)).agg(best.alias(row))
+    return alone.union(kept.select(f"{row}.*"))
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -120,7 +123,8 @@ def drop_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFra
     """
     hashed = materialize(ids.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias(doc_id), F.xxhash64(F.col(doc_id).cast("long")).alias("h")))
     columns = docs.columns
-    marked = docs.withColumn("__h", F.xxhash64(F.col(doc_id).cast("long")))
-    marked = marked.withColumn("__may", possibly_repeated(marked, "__h", repeat_filter(hashed, "h", hashed.count(), least=1)))
-    straight = marked.where("not __may").select(*columns)
-    return straight.union(marked.where("__may").join(hashed.select(doc_id).distinct(), doc_id, "left_anti").select(*columns))
+    h, may = (spare_name(columns, c) for c in ("h", "may"))
+    marked = docs.withColumn(h, F.xxhash64(F.col(doc_id).cast("long")))
+    marked = marked.withColumn(may, possibly_repeated(marked, h, repeat_filter(hashed, "h", hashed.count(), least=1)))
+    straight = marked.where(~F.col(may)).select(*columns)
+    return straight.union(marked.where(F.col(may)).join(hashed.select(doc_id).distinct(), doc_id, "left_anti").select(*columns))

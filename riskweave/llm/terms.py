@@ -94,6 +94,6 @@ def sample_matrix(sample: DataFrame, terms: np.ndarray, extra=None) -> tuple[np.
     rows = sample.select("doc_id", F.col("label").cast("long"), "text").mapInArrow(run, "doc_id long, label long, terms binary, extra binary").orderBy("doc_id").toArrow()
     label = rows["label"].to_numpy()
     each = [np.frombuffer(x.as_py(), np.int32) for x in rows["terms"]]
-    more = np.array([np.frombuffer(x.as_py(), float) for x in rows["extra"]]).reshape(len(label), -1)
+    more = np.stack([np.frombuffer(x.as_py(), float) for x in rows["extra"]]) if len(label) else np.zeros((0, 0))
     pointers = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
     return label, pointers, np.concatenate([np.empty(0, np.int32), *each]), more
