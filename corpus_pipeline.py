@@ -40,9 +40,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate towards the target weights says; a row a copy."""
-    rated = mixing.mixed(docs, mixing.domains_of(table(spark, sf_dir, "labels")), TARGET, keep=docs.columns)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever the columns are called
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    labels = mixing.domains_of(table(spark, sf_dir, "labels")).withColumnRenamed("doc_id", doc_id)
+    rated = mixing.mixed(plain, labels, TARGET, doc_id, text, keep=plain.columns)
     copies = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
-    return rated.where("copies > 0").withColumn("copy", copies).select(*docs.columns)
+    return rated.where("copies > 0").withColumn("copy", copies).select(*plain.columns).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
