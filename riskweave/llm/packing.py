@@ -11,9 +11,11 @@ of powers of two, which need no padding.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,21 +61,25 @@ class ChunkEncoder:
         self.used += len(ids)
         self.known.update(zip(chunks, range(n, m), strict=True))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | bytes]) -> list[np.ndarray]:
         if len(self.known) > self.cache:
             self.clear()
-        split = [t.encode().split() for t in texts]
-        fresh = set().union(*split).difference(self.known) if split else set()
-        if fresh:
-            self._learn(sorted(fresh))
-        out, known = [], self.known
-        for words in split:
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            lens = self.lens[at]
-            ends = np.cumsum(lens)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.starts[at] - ends + lens, lens) + np.arange(total)])
-        return out
+        words: list[bytes] = []
+        cut = [0]
+        for t in texts:
+            words += (t if isinstance(t, bytes) else t.encode()).split()
+            cut.append(len(words))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            self._learn(sorted({words[i] for i in missing}))
+            at[missing] = [self.known[words[i]] for i in missing]
+        lens = self.lens[at]
+        ends = np.cumsum(lens)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.starts[at] - ends + lens, lens) + np.arange(total)]
+        bounds = np.concatenate([[0], ends])[cut]
+        return [ids[a:b] for a, b in itertools.pairwise(bounds.tolist())]
 
 
 class Packer:
@@ -166,7 +172,8 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
                 b, size = a, 0
                 part = []
                 while b < len(ids) and size < 1 << 20:
-                    part.append(texts[b].as_py() or "")
+                    x = texts[b]
+                    part.append(x.as_buffer().to_pybytes() if x.is_valid else b"")
                     size += len(part[-1])
                     b += 1
                 for k, got in zip(ids[a:b], encoder.encode(part), strict=True):
