@@ -94,7 +94,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     built = repeat_filter(rows, "h", rows.count())
     rows = rows.withColumn("again", possibly_repeated(rows, "h", built))
     alone = rows.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    again = rows.where("again").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("times"))
+    again = materialize(rows.where("again").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("times")))  # so that its join below can split a hot text
     groups = again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
     again = again.join(groups, "text_sha256").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return alone.union(again.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), "text_sha256"))
