@@ -11,6 +11,7 @@ of powers of two, which need no padding.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import zlib
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, WINDOW, CACHE = 4096, 1 << 20, 400_000
+CAPACITY, WINDOW, CACHE = 4096, 1 << 20, 1_500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
@@ -39,6 +40,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark_id, self.mark = max(special, default=(-1, ""))
         self.clear()
 
     def clear(self) -> None:
@@ -46,10 +49,22 @@ class ChunkEncoder:
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.starts, self.lens = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
+    def _each(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in order, number of ids of each). A special token between them, which the tokenizer splits at first, keeps chunks apart in one call."""
+        words = [c.decode() for c in chunks]
+        if not self.mark or any(self.mark in w for w in words):
+            got = self._each(words)
+            return np.array([i for x in got for i in x], np.int32), np.array([len(x) for x in got], np.int64)
+        runs = self._each([self.mark.join([*words[a : a + 1000], ""]) for a in range(0, len(words), 1000)])
+        flat = np.concatenate([np.empty(0, np.int32), *(np.array(x, np.int32) for x in runs)])
+        ends = np.flatnonzero(flat == self.mark_id)
+        return flat[flat != self.mark_id], np.diff(np.append(-1, ends)) - 1
+
     def _learn(self, chunks: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
-        lens = np.array([len(x) for x in got], np.int64)
-        ids = np.array([i for x in got for i in x], np.int32)
+        ids, lens = self._encoded(chunks)
         n, m = len(self.known), len(self.known) + len(chunks)
         while m > len(self.starts):
             self.starts, self.lens = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lens, 2 * len(self.lens))
@@ -82,6 +97,12 @@ class ChunkEncoder:
         return [ids[a:b] for a, b in itertools.pairwise(bounds.tolist())]
 
 
+@functools.lru_cache(1)
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder for the tasks that a Python worker runs one after another."""
+    return ChunkEncoder(path)
+
+
 class Packer:
     def __init__(self, capacity: int, quadratic: float, first_id: int) -> None:
         self.capacity, self.quadratic, self.next_id = capacity, quadratic, first_id
@@ -156,7 +177,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
         raise ValueError("capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         packer = Packer(capacity, quadratic, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], np.int32)
         held = 0

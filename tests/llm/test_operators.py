@@ -312,6 +312,7 @@ def test_packing_round_trip(spark, capacity):
 @given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("   \x85<|>'é")), max_size=60), max_size=6))
 def test_chunk_encoder_equals_tokenizer(texts):
     encoder = ChunkEncoder(word_bpe())
+    texts = [*texts, "a<|endoftext|>b", "<|startoftext|> c"] if len(texts) > 4 else texts
     assert [x.tolist() for x in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
