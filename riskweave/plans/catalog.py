@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.operators import asof
+from riskweave.operators import asof, metrics, trees
 from riskweave.operators import legs as L
 from riskweave.operators.features import FeatureEngine
 from riskweave.sources import driver_tables as D
@@ -212,3 +212,63 @@ def d4_asof_medians(spark, sf_dir):
     engine, events = _engine(spark, sf_dir)
     out = asof.median_block(events, engine.legs, engine.sweep)
     return out.select("event_id", *(F.round(c, 3).alias(c) for c in ("sender_median_out_cents", "dest_median_hold_secs", "dest_p25_hold_secs")))
+
+
+SCORED_SQL = f""", d AS ({DEST_SQL}), b AS (
+  SELECT event_id, dest_senders_7d, coalesce((event_time - dest_first_seen) / 86400000.0, 0.0) AS dest_age_days, dest_inbound_count, sender, destination, cents FROM d JOIN ev USING (event_id)
+), scored AS (
+  SELECT *, CASE WHEN dest_senders_7d <= 2.5 THEN -0.6 WHEN dest_age_days <= 300.0 THEN 1.1 ELSE 0.4 END
+    + CASE WHEN dest_inbound_count <= 20.0 THEN -0.3 ELSE 0.5 END + CASE WHEN dest_age_days <= 90.0 THEN 0.7 ELSE -0.2 END AS margin FROM b
+)"""
+
+
+def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every payment with its destination's facts before it, the fixed ensemble's score and band."""
+    engine, events = _engine(spark, sf_dir)
+    facts = events.join(asof.destination_block(events, engine.legs), "event_id").withColumn("dest_age_days", F.coalesce((F.col("event_time") - F.col("dest_first_seen")) / 86400000.0, F.lit(0.0)))
+    score = trees.probability(trees.margin(trees.FIXED_MODEL))
+    return facts.withColumn("score", F.round(score, 9)).withColumn("band", trees.bands(F.col("score"), trees.FIXED_MODEL["thresholds"]))
+
+
+@query("j6_tree_score", SCORED_SQL + """ SELECT event_id, round(1 / (1 + exp(-margin)), 9) AS score,
+CASE WHEN round(1 / (1 + exp(-margin)), 9) >= 0.7 THEN 'high' WHEN round(1 / (1 + exp(-margin)), 9) >= 0.5 THEN 'elevated' ELSE 'ordinary' END AS band FROM scored""")
+def j6_tree_score(spark, sf_dir):
+    return scored_events(spark, sf_dir).select("event_id", "score", "band")
+
+
+LABELLED = " , l AS (SELECT round(1 / (1 + exp(-margin)), 9) AS score, CAST(CAST(substr(destination, 2) AS BIGINT) % 7 = 0 AS BIGINT) AS label FROM scored)"
+
+
+def _labelled(spark, sf_dir):
+    return scored_events(spark, sf_dir).select("score", (F.substring("destination", 2, 20).cast("long") % 7 == 0).cast("long").alias("label"))
+
+
+@query("k3_ranking_metrics", SCORED_SQL + LABELLED + """, r AS (SELECT label, (rank() OVER (ORDER BY score) + rank() OVER (ORDER BY score) + count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM l
+), c AS (SELECT score, sum(label) AS p, count(*) AS n FROM l GROUP BY 1), s AS (SELECT p, sum(p) OVER w AS tp, sum(n) OVER w AS every FROM c WINDOW w AS (ORDER BY score DESC))
+SELECT CAST(sum(label) AS BIGINT) AS n_pos, CAST(count(*) - sum(label) AS BIGINT) AS n_neg,
+  round((sum(rk) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))), 9) AS roc_auc,
+  (SELECT round(sum(p * tp / every) / sum(p), 9) FROM s) AS average_precision FROM r""")
+def k3_ranking_metrics(spark, sf_dir):
+    out = metrics.ranking_metrics(_labelled(spark, sf_dir))
+    return out.select("n_pos", "n_neg", F.round("roc_auc", 9).alias("roc_auc"), F.round("average_precision", 9).alias("average_precision"))
+
+
+REPORTS_SQL = """ SELECT address, chain, count(DISTINCT source) AS n_sources, max(weight) AS max_weight, string_agg(DISTINCT source, ',' ORDER BY source) AS sources,
+  CAST(min(reported_at) AS BIGINT) AS first_reported_at, count(DISTINCT source) >= 2 OR max(weight) >= 1.0 AS accepted FROM reports GROUP BY 1, 2"""
+
+
+@query("d11_label_aggregate", REPORTS_SQL)
+def d11_label_aggregate(spark, sf_dir):
+    rows = D.scam_reports(spark, sf_dir)
+    out = rows.groupBy("address", "chain").agg(F.count_distinct("source").alias("n_sources"), F.max("weight").alias("max_weight"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.min("reported_at").alias("first_reported_at"))
+    return out.withColumn("accepted", (F.col("n_sources") >= 2) | (F.col("max_weight") >= 1.0))
+
+
+@query("a24_prices", "SELECT epoch(date_trunc('day', o_orderdate))::BIGINT AS day, floor(CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*)) / 100.0 AS close FROM orders GROUP BY 1".replace("SELECT", "/* plain */ SELECT", 1))
+def a24_prices(spark, sf_dir):
+    return D.prices(spark, sf_dir)
+
+
+@query("e5_transfer_position", " SELECT event_id, transfer_k FROM (SELECT event_id, CAST(row_number() OVER (PARTITION BY sender, destination ORDER BY event_time, event_id) AS INTEGER) AS transfer_k FROM ev) WHERE transfer_k <= 10")
+def e5_transfer_position(spark, sf_dir):
+    return L.transfer_position(L.payments_as_events(D.derive_transfers(spark, sf_dir))).select("event_id", "transfer_k")
