@@ -36,7 +36,7 @@ from .textblocks import U64, mix, shingle_sets
 
 FREQUENT = 32  #: a shingle counted more often is indexed in combinations
 MAX_BITS = 27  #: log2 of the size of each bit array: 16 MB at most
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 SMALL_BUCKET = 16  #: sets of a signature up to which all its unconnected pairs are listed
 BLOCK_TOKENS, BLOCK_QUERIES = 200_000, 1000
 _SOLO, _SUB, _SET = U64(0x51ED270B9F2B5A1D), U64(0x2545F4914F6CDD1D), U64(0x9FB21C651E98DF25)
@@ -196,13 +196,16 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, sha) of every row, (sha, text) once a text). Only texts that a Bloom filter calls possibly repeated shuffle."""
+    """((doc_id, sha) of every row, (sha, text) once a text). Only texts that a Bloom filter calls possibly repeated shuffle.
+
+    The texts are written once: both passes over them then run one Python worker a task and probe nothing again.
+    """
     body = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", body.alias("text"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("sha"), F.xxhash64(body).alias("h"))
     rows = materialize(docs.select("doc_id", "sha", "h"))
     docs = docs.withColumn("again", possibly_repeated(docs, "h", repeat_filter(rows, "h", rows.count())))
     again = docs.where("again").groupBy("sha").agg(F.first("text").alias("text"))
-    return rows.select("doc_id", "sha"), docs.where("not again").select("sha", "text").union(again)
+    return rows.select("doc_id", "sha"), materialize(docs.where("not again").select("sha", "text").union(again))
 
 
 def signature_rows(table: DataFrame) -> DataFrame:

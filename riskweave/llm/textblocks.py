@@ -1,6 +1,7 @@
 """Vectorised word and shingle hashing over Arrow string columns.
 
-Texts are read as the bytes of the Arrow buffer, a few MB at a time; a word is a run of bytes that
+Texts are read as the bytes of the Arrow buffer, a quarter of a MB at a time (working arrays take some
+50 bytes a byte of text); a word is a run of bytes that
 the class table does not mark as a separator. Hashes are 64 bits.
 """
 
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _BASE = U64(0x9E3779B97F4A7C55)
 _POWERS = np.cumprod(np.full(1 << 12, _BASE, dtype=U64), dtype=U64)
 _STEP = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U64)
