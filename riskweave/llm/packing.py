@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import threading
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -103,6 +104,20 @@ def encoder_of(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+_idle: list[threading.Timer] = []  # at most one: drops this worker's encoder
+
+
+def keep_encoder(seconds: float | None) -> None:
+    """Drop the worker's encoder after so many seconds without a task (None: not while a task runs), so that later stages in the same worker have its memory."""
+    while _idle:
+        _idle.pop().cancel()
+    if seconds is not None:
+        timer = threading.Timer(seconds, encoder_of.cache_clear)
+        timer.daemon = True
+        _idle.append(timer)
+        timer.start()
+
+
 class Packer:
     def __init__(self, capacity: int, quadratic: float, first_id: int) -> None:
         self.capacity, self.quadratic, self.next_id = capacity, quadratic, first_id
@@ -177,6 +192,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
         raise ValueError("capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_encoder(None)
         encoder = encoder_of(tokenizer_path)
         packer = Packer(capacity, quadratic, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], np.int32)
@@ -208,6 +224,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
                         yield flush()
                 a = b
         packer.pack(last=True)
+        keep_encoder(2.0)
         if packer.rows:
             yield flush()
 
