@@ -3,9 +3,12 @@
 Documents are compared as lists of line hashes. A line of at least `min_words` words that several
 documents have pairs each of them with the first (smallest id) that has it; lines of at most `rare`
 documents pair them all, later with earlier. Each pair is aligned by patience diff: anchors are lines
-that occur once in both, the longest run of anchors in the same order is kept, and blocks grow from
-them over equal neighbouring lines. Blocks with an anchor of `min_words` words are deleted from the
-later document. The first document of a line always keeps it, so no line is lost altogether.
+of `min_words` words that occur once in both, the longest run of anchors in the same order is kept, and
+blocks grow from them over equal neighbouring lines. The stretches between blocks are aligned in the
+same way; where no line occurs once in both, repeated ones are matched occurrence by occurrence. What
+the order leaves out (moved lines, further occurrences) starts blocks of its own, so that every line of
+`min_words` words that an earlier document has is deleted from the later one. The first document of a
+line always keeps it, so no line is lost altogether.
 """
 
 from __future__ import annotations
@@ -22,15 +25,8 @@ from .common import materialize
 from .textblocks import U64, mix
 
 
-def patience_blocks(old: np.ndarray, new: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """Positions of `new` in blocks aligned with `old`; only lines flagged in `anchor` (by position of new) start a block."""
-
-    def once(x: np.ndarray) -> dict[int, int]:
-        value, first, n = np.unique(x, return_index=True, return_counts=True)
-        return dict(zip(value[n == 1].tolist(), first[n == 1].tolist(), strict=True))
-
-    in_old, in_new = once(old), once(new)
-    pairs = sorted((j, in_old[v]) for v, j in in_new.items() if anchor[j] and v in in_old)
+def _in_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of (new, old) pairs, sorted by new, in which old ascends too."""
     tops: list[int] = []
     at: list[int] = []
     before = [-1] * len(pairs)
@@ -44,20 +40,67 @@ def patience_blocks(old: np.ndarray, new: np.ndarray, anchor: np.ndarray) -> np.
     while n >= 0:
         chain.append(pairs[n])
         n = before[n]
-    chain.reverse()
+    return chain[::-1]
+
+
+def _places(lines: list[int], span: range, wanted) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for k in span:
+        if wanted(k):
+            out.setdefault(lines[k], []).append(k)
+    return out
+
+
+def patience_blocks(old: np.ndarray, new: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Positions of `new` in blocks aligned in order with `old`; only lines flagged in `anchor` (by position of new) start a block."""
+    a, b, flags = old.tolist(), new.tolist(), anchor.tolist()
+    taken = np.zeros(len(b), bool)
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        in_new = _places(b, range(b0, b1), flags.__getitem__)
+        in_old = _places(a, range(a0, a1), lambda k: a[k] in in_new) if in_new else {}
+        pairs = [(in_new[v][0], x[0]) for v, x in in_old.items() if len(x) == len(in_new[v]) == 1]
+        pairs = pairs or [pair for v, x in in_old.items() for pair in zip(in_new[v], x, strict=False)]
+        if not pairs:
+            continue
+        for j, i in _in_order(sorted(pairs)):
+            if j < b0 or i < a0:
+                continue  # already inside the block before
+            x, y = j, i
+            while x > b0 and y > a0 and b[x - 1] == a[y - 1]:
+                x, y = x - 1, y - 1
+            todo.append((a0, y, b0, x))
+            b0, a0 = j + 1, i + 1
+            while b0 < b1 and a0 < a1 and b[b0] == a[a0]:
+                b0, a0 = b0 + 1, a0 + 1
+            taken[x:b0] = True
+        todo.append((a0, a1, b0, b1))
+    return np.flatnonzero(taken)
+
+
+def shared_positions(old: np.ndarray, new: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """The blocks of patience_blocks, and those around the flagged lines of `old` that are left: moved, or repeated more often in `new`."""
     taken = np.zeros(len(new), bool)
-    last_new = last_old = -1
-    for j, i in chain:
-        if j <= last_new:
-            continue  # already inside the block before
-        a, b = j, i
-        while a - 1 > last_new and b - 1 > last_old and new[a - 1] == old[b - 1]:
-            a, b = a - 1, b - 1
-        c, d = j, i
-        while c + 1 < len(new) and d + 1 < len(old) and new[c + 1] == old[d + 1]:
-            c, d = c + 1, d + 1
-        taken[a : c + 1] = True
-        last_new, last_old = c, d
+    taken[patience_blocks(old, new, anchor)] = True
+    left = np.flatnonzero(anchor & ~taken & np.isin(new, old)).tolist()
+    if left:
+        a, b = old.tolist(), new.tolist()
+        lines = {b[j] for j in left}
+        in_old = _places(a, range(len(a)), lambda k: a[k] in lines)
+        turn = dict.fromkeys(lines, 0)
+        for j in left:
+            if taken[j]:
+                continue
+            i = in_old[b[j]][turn[b[j]] % len(in_old[b[j]])]
+            turn[b[j]] += 1
+            x, y = j, i
+            while x > 0 and y > 0 and not taken[x - 1] and b[x - 1] == a[y - 1]:
+                x, y = x - 1, y - 1
+            c, d = j + 1, i + 1
+            while c < len(b) and d < len(a) and not taken[c] and b[c] == a[d]:
+                c, d = c + 1, d + 1
+            taken[x:c] = True
     return np.flatnonzero(taken)
 
 
@@ -83,7 +126,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             ids, lists = [], []
             for k, old, new, anchor in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
-                got = patience_blocks(old.values.to_numpy(), new.values.to_numpy(), anchor.values.to_numpy(zero_copy_only=False))
+                got = shared_positions(old.values.to_numpy(), new.values.to_numpy(), anchor.values.to_numpy(zero_copy_only=False))
                 if len(got):
                     ids.append(k)
                     lists.append(got.astype(np.int32))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riskweave.llm import chat_format, language_id, mixing, quality_lm, toxicity
 from riskweave.llm.exact_dedup import deduplicate, drop_ids, exact_duplicates
 from riskweave.llm.jaccard_join import near_duplicates
-from riskweave.llm.line_dedup import deduplicate_lines, patience_blocks
+from riskweave.llm.line_dedup import deduplicate_lines, patience_blocks, shared_positions
 from riskweave.llm.packing import ChunkEncoder, pack
 from riskweave.llm.queries import TARGET, word_bpe
 from riskweave.llm.topk_search import top_k
@@ -116,6 +116,31 @@ def test_patience_blocks():
     assert patience_blocks(old, new, np.zeros(7, bool)).tolist() == []
 
 
+def test_blocks_between_anchors_and_moved_lines():
+    every = lambda x: np.ones(len(x), bool)
+    old, new = np.array([1, 7, 2, 7, 3]), np.array([1, 7, 9, 2, 8, 7, 3])
+    assert patience_blocks(old, new, every(new)).tolist() == [0, 1, 3, 5, 6]
+    old, new = np.array([5, 5, 6]), np.array([5, 9, 5, 9, 5])
+    assert patience_blocks(old, new, every(new)).tolist() == [0, 2]
+    assert shared_positions(old, new, every(new)).tolist() == [0, 2, 4]
+    old, new = np.array([1, 2, 3, 4]), np.array([3, 4, 9, 1, 2])
+    assert shared_positions(old, new, np.array([1, 0, 0, 1, 0], bool)).tolist() == [0, 1, 3, 4]
+
+
+def test_no_long_line_of_an_earlier_document_stays(spark):
+    """Every order, repeats on either side, lines of few and of many documents: what stays is in no earlier document."""
+    rng = random.Random(6)
+    lines = [sentence(rng, 7) + f" l{i}" for i in range(40)]
+    texts = [[rng.choice(lines[: 6 if d % 3 else 40]) if rng.random() < 0.6 else rng.choice(["short one", f"only here of d{d} {rng.random()}"]) for _ in range(rng.randint(1, 14))] for d in range(60)]
+    got = {r["doc_id"]: r for r in rows_of(deduplicate_lines(frame(spark, [(d, "\n".join(t), *documents()[0][2:]) for d, t in enumerate(texts)])))}
+    seen = set()
+    for d, t in enumerate(texts):
+        long = [i for i, x in enumerate(t) if len(x.split()) >= 5]
+        assert [i for i in got[d]["removed"] if i in long] == [i for i in long if t[i] in seen]
+        seen |= set(t)
+    assert {x for t in texts for x in t} == {x for r in got.values() for x in r["text"].split("\n")} - {""}
+
+
 def test_line_dedup(spark):
     rng = random.Random(2)
     block = [sentence(rng, 9) + f" b{i}" for i in range(4)]
