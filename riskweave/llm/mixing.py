@@ -5,16 +5,17 @@ posterior over domains. Rates r_i >= 0 then minimise
 
     1/2 sum_k (x_k - tau_k)^2 / tau_k + ridge/2 sum_i (t_i / W) (r_i - 1)^2,   x_k = sum_i r_i t_i p_ik / W
 
-for token counts t_i, W tokens in all and target shares tau_k of W, by projected gradient steps
-r_i <- max(0, r_i - eta (sum_k p_ik (x_k - tau_k) / tau_k + ridge (r_i - 1))). A step needs one sum per
-domain over all documents; a document's rate follows from its posterior and the sums so far, so no
-state but these few numbers moves between steps.
+for token counts t_i, W tokens in all and target shares tau_k of W. The minimum has
+r_i = max(0, 1 - sum_k p_ik g_k / ridge) with pulls g_k = (x_k - tau_k) / tau_k, so that only the pulls are
+sought: where the convex function sum_k (tau_k g_k^2 / 2 + tau_k g_k) + ridge/2 sum_i (t_i / W) r_i^2 is least,
+by Newton steps. A step needs a few sums over all documents, and a document's rate follows from its
+posterior and the pulls, so no state but these few numbers moves between steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -111,18 +112,17 @@ def fit_domains(docs: DataFrame, labels: DataFrame, label: str = "domain", doc_i
 
 @dataclass
 class Mix:
-    """The steps taken: enough to compute any document's rate from its posterior."""
+    """The pulls of the domains: enough to compute any document's rate from its posterior."""
 
-    domains: int
     ridge: float
-    eta: float = 1.0
-    pulls: list[np.ndarray] = field(default_factory=list)  # (x - tau) / tau at each step
+    pulls: np.ndarray
+
+    @property
+    def domains(self) -> int:
+        return len(self.pulls)
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        r = np.ones(len(p))
-        for g in self.pulls:
-            r = np.maximum(0.0, r - self.eta * (p @ g + self.ridge * (r - 1)))
-        return r
+        return np.maximum(0.0, 1 - p @ self.pulls / self.ridge)
 
 
 def with_posteriors(docs: DataFrame, model: DomainModel | None, domains: int, keep: list[str], text: str = "text") -> DataFrame:
@@ -147,39 +147,54 @@ def with_posteriors(docs: DataFrame, model: DomainModel | None, domains: int, ke
 
 
 def fit_rates(members: DataFrame, target: list[float], ridge: float = 1e-3, steps: int = 40, tolerance: float = 1e-5) -> Mix:
-    """The steps that bring members (tokens, p) to the target shares of all tokens. Domains that no document belongs to have no pull."""
+    """The pulls that bring members (tokens, p) to the target shares of all tokens. Domains that no document belongs to have no pull.
+
+    Ends when (x - tau) / tau and the pulls differ by less than tolerance; raises if `steps` passes do not suffice.
+    """
     k = len(target)
     tau = np.array(target, float) / sum(target)
+    scale = np.where(tau > 0, tau, 1e-3)
+
+    def sums(tried: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray, float]]:
+        """For each vector of pulls: tokens, tokens by domain, tokens by domain at the rates, products of posteriors where the rate is not 0, squared rates."""
 
-    def sums(mix: Mix) -> tuple[float, np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     t = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
                     p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                    x = (t * mix.rates(p)) @ p
-                    square = (p * t[:, None]).T @ p
-                    yield pa.record_batch([pa.array(np.arange(1 + k + k * k)), pa.array(np.concatenate([[t.sum()], x, square.ravel()]))], names=["i", "x"])
-
-        out = np.zeros(1 + k + k * k)
+                    out = []
+                    for g in tried:
+                        r = Mix(ridge, g).rates(p)
+                        out += [[t.sum()], t @ p, (t * r) @ p, ((p * (t * (r > 0))[:, None]).T @ p).ravel(), [t @ (r * r)]]
+                    out = np.concatenate(out)
+                    yield pa.record_batch([pa.array(np.arange(len(out))), pa.array(out)], names=["i", "x"])
+
+        size = 2 + 2 * k + k * k
+        out = np.zeros((len(tried), size))
         for r in members.select("tokens", "p").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
-            out[r["i"]] = r["x"]
-        return out[0], out[1 : 1 + k], out[1 + k :].reshape(k, k)
+            out[divmod(r["i"], size)] = r["x"]
+        return [(o[0], o[1 : 1 + k], o[1 + k : 1 + 2 * k], o[1 + 2 * k : -1].reshape(k, k), o[-1]) for o in out]
 
-    mix = Mix(k, ridge)
+    pulls, value, newton, reach = np.zeros(k), np.inf, np.zeros(k), 1.0
     for step in range(steps):
-        total, x, square = sums(mix)
-        if total <= 0:
-            break
-        live = (np.diag(square) > 0) & (tau > 0)
-        scale = np.where(tau > 0, tau, 1e-3)
-        if step == 0:
-            mix.eta = 1 / (np.linalg.eigvalsh(square / total / np.sqrt(np.outer(scale, scale))).max() + ridge)
-        pull = np.where(live | (np.diag(square) > 0), (x / total - tau) / scale, 0.0)
-        mix.pulls.append(pull)
-        if step and np.abs(pull - mix.pulls[-2]).max() < tolerance:
-            break
-    return mix
+        tried = [pulls + reach / 4**n * newton for n in range(4)] if step else [pulls]
+        best = None
+        for g, (total, has, x, square, squares) in zip(tried, sums(tried), strict=True):
+            if total <= 0:
+                return Mix(ridge, np.zeros(k))
+            slope = np.where(has > 0, scale * g + tau - x / total, 0.0)
+            if np.abs(slope / scale).max() < tolerance:
+                return Mix(ridge, g)
+            at = (scale * g * g / 2 + tau * g)[has > 0].sum() + ridge / 2 * squares / total
+            if best is None or at < best[0]:
+                best = at, g, slope, square / total
+        if best[0] < value:
+            value, pulls, slope, square = best
+            newton, reach = -np.linalg.solve(np.diag(scale) + square / ridge, slope), 1.0
+        else:
+            reach /= 4 ** len(tried)
+    raise RuntimeError(f"the rates have not converged after {steps} passes")
 
 
 def with_rates(members: DataFrame, mix: Mix, doc_id: str = "doc_id") -> DataFrame:

@@ -250,6 +250,27 @@ def test_mixing_reaches_its_targets(spark):
     assert mixing.mixed(frame(spark, []), mixing.domains_of(spark.createDataFrame([], LABELS)), TARGET).count() == 0
 
 
+@pytest.mark.parametrize("shares", [[0.93, 0.002, 0.068], [0.99989, 0.0001, 0.00001], [0.2, 0.1, 0.7], [0.5, 0.5, 0.0]])
+def test_rates_of_scarce_domains_converge(spark, shares):
+    """Each document in one domain: the minimum is known, r = (1 + ridge) / (share / target + ridge)."""
+    members = spark.createDataFrame([(round(1e5 * s), [float(j == k) for j in range(3)]) for k, s in enumerate(shares) if s], "tokens long, p array<double>")
+    got = mixing.fit_rates(members, TARGET).rates(np.eye(3))
+    want = [1.001 / (s / t + 0.001) if s else 1.0 for s, t in zip(shares, TARGET, strict=True)]
+    assert np.allclose(got, want, rtol=1e-2)
+
+
+def test_rates_of_soft_members_are_the_minimum(spark):
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet([2, 0.05, 0.02], 400)
+    t = rng.integers(1, 90, 400)
+    r = mixing.fit_rates(spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p, strict=True)], "tokens long, p array<double>"), TARGET).rates(p)
+    tau = np.array(TARGET)
+    slope = p @ (((t * r) @ p / t.sum() - tau) / tau) + 1e-3 * (r - 1)
+    assert np.abs(slope[r > 0]).max() < 1e-4 and (slope[r == 0] > -1e-4).all() and 0 < (r > 0).mean()
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(spark.createDataFrame([(1, [0.9, 0.1, 0.0])], "tokens long, p array<double>"), TARGET, steps=1)
+
+
 def plain_kneser_ney(train, texts, vocabulary):
     """log probability of each text by the textbook formulas."""
     from collections import Counter
