@@ -10,18 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .exact_dedup import possibly_repeated, repeat_filter
 from .textblocks import LETTERS_FOLDED, U64, word_chunks
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, doc_id: str = "doc_id", text: str = "text", n_labels: int = 16) -> tuple[DataFrame, dict[int, int]]:
-    """((doc_id, label, text) of at most per_label labelled documents a label, those of the smallest id hash; rows of each label).
+    """((doc_id, label, text) of at most per_label labelled documents a label, those of the smallest id hash; documents of each label).
 
     `labels` has one integer label a document below n_labels; of contradicting labels the largest
-    counts. What is broadcast to find the texts has n_labels * per_label ids at most.
+    counts. Labels of documents that docs does not have count nowhere: only ids are compared, and a Bloom
+    filter of the labelled ones keeps most others from being shuffled. What is broadcast to find the texts has n_labels * per_label ids at most.
     """
     rows = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = materialize(rows)
-    counts = {r["label"]: r["count"] for r in rows.where(F.col("label").between(0, n_labels - 1)).groupBy("label").count().collect()}
+    rows = materialize(rows.where(F.col("label").between(0, n_labels - 1)).withColumn("h", F.xxhash64("doc_id")))
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id")).where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
+    ids = ids.where(possibly_repeated(ids, "h", repeat_filter(rows, "h", rows.count(), least=1))).select("doc_id").distinct()
+    rows = materialize(rows.select("doc_id", "label").join(ids, "doc_id", "left_semi"))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     picked = None
     for k in sorted(counts):
         part = rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)

@@ -15,6 +15,7 @@ from riskweave.llm.jaccard_join import near_duplicates
 from riskweave.llm.line_dedup import deduplicate_lines, patience_blocks, shared_positions
 from riskweave.llm.packing import ChunkEncoder, pack
 from riskweave.llm.queries import TARGET, word_bpe
+from riskweave.llm.terms import labelled_sample
 from riskweave.llm.topk_search import top_k
 
 from .data import SCHEMA, documents, frame, near_components, sentence
@@ -184,6 +185,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert got[None]["toxic"]
 
 
+def test_labelled_sample_is_of_the_documents_there_are(spark):
+    """Labels of absent documents take no place in the sample and no part in the counts."""
+    docs = frame(spark, [r for r in documents() if r[0] is None or r[0] < 20])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(5000)] + [(None, 1), (2, None), (3, 99), (10**6, 2)], "doc_id long, label int")
+    sample, counts = labelled_sample(docs, labels, "label", 5)
+    assert counts == {0: 14, 1: 5}  # 3's largest label is out of range
+    by = {}
+    for r in sample.collect():
+        by.setdefault(r["label"], set()).add(r["doc_id"])
+    assert len(by[0]) == 5 and by[1] == {0, 4, 8, 12, 16}
+    assert labelled_sample(docs, labels.where("doc_id >= 20"), "label", 5)[1] == {}
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs, _ = labelled(20)
     assert toxicity.fit(frame(spark, docs), toxicity.grades_of(spark.createDataFrame([], LABELS))) is None
