@@ -285,45 +285,51 @@ def test_rates_of_soft_members_are_the_minimum(spark):
         mixing.fit_rates(spark.createDataFrame([(1, [0.9, 0.1, 0.0])], "tokens long, p array<double>"), TARGET, steps=1)
 
 
-def plain_kneser_ney(train, texts, vocabulary):
-    """log probability of each text by the textbook formulas."""
+def plain_kneser_ney(train, texts, least_count):
+    """log probability of each text by the textbook formulas; bigrams below least_count leave their mass to the lower order."""
     from collections import Counter
 
-    clean = lambda t: ["<s>", *(w if w in vocabulary else "<unk>" for w in t.split()), "</s>"]
-    count = Counter(b for t in train for b in zip(clean(t), clean(t)[1:], strict=False))
-    items = [*sorted(vocabulary), "<unk>", "<s>", "</s>"]
+    clean = lambda t: ["<s>", *t.split(), "</s>"]
+    count = Counter(b for t in train if t.split() for b in zip(clean(t), clean(t)[1:], strict=False))
     after = Counter(w for _, w in count)
-    low = lambda values: quality_lm.discounts([sum(v == k for v in values) for k in (1, 2, 3, 4)])
+    low = lambda values: [0.0, *quality_lm.discounts([sum(v == k for v in values) for k in (1, 2, 3, 4)])]
     d2, d1 = low(count.values()), low(after.values())
     every = sum(after.values())
-    left = sum(d1[min(after[w], 3)] for w in items)
-    p1 = {w: max(after[w] - d1[min(after[w], 3)], 0) / every + left / every / len(items) for w in items}
-    total, out = Counter(), []
+    unknown = sum(d1[min(n, 3)] for n in after.values()) / every / (len(after) + 1)
+    p1 = lambda w: (after[w] - d1[min(after[w], 3)]) / every + unknown if after[w] else unknown
+    total, own, out = Counter(), Counter(), []
     for (h, _), c in count.items():
         total[h] += c
-    gamma = {h: sum(d2[min(c, 3)] for (g, _), c in count.items() if g == h) / total[h] for h in total}
+        own[h] += c - d2[min(c, 3)] if c >= least_count else 0
     for t in texts:
         words = clean(t)
         x = 0.0
         for h, w in zip(words, words[1:], strict=False):
-            c = count[h, w]
-            x += math.log((max(c - d2[min(c, 3)], 0) / total[h] if c else 0) + gamma.get(h, 1.0) * p1[w])
+            c = count[h, w] if count[h, w] >= least_count else 0
+            gamma = 1 - own[h] / total[h] if total[h] else 1.0
+            x += math.log((c - d2[min(c, 3)]) / max(total[h], 1) + gamma * p1(w))
         out.append(x)
     return out
 
 
-def test_kneser_ney_equals_textbook(spark):
+@pytest.mark.parametrize("least_count, hot", [(1, 1 << 20), (2, 1 << 20), (1, 30), (2, 0)])
+def test_kneser_ney_equals_textbook(spark, least_count, hot):
+    """Whatever share of the n-grams is broadcast and whatever share joined."""
     rng = random.Random(3)
-    train = [sentence(rng, rng.randint(1, 25)) for _ in range(60)]
-    texts = [*(sentence(rng, 12) for _ in range(20)), "", "river stone", "river river river"]
-    source = spark.createDataFrame([(t,) for t in train], "text string")
-    words, distinct = quality_lm.vocabulary(source, 1 << 10)
-    model = quality_lm.counted(source, words, 16)
-    uni = quality_lm.unigrams(model, words, distinct)
+    train = ["", *(sentence(rng, rng.randint(1, 25)) for _ in range(60))]
+    texts = [*(sentence(rng, 12) for _ in range(20)), "", "river stone", "river river river", "never seen words", None]
+    model, unknown = quality_lm.values(quality_lm.ngram_table(spark.createDataFrame([(t,) for t in train], "text string"), 4, least_count))
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r["log_prob"] for r in rows_of(quality_lm.log_probabilities(docs, model, uni, 16, 10))}
-    want = plain_kneser_ney(train, texts, {w for t in train for w in t.split()})
-    assert np.allclose([got[i] for i in range(len(texts))], want, atol=1e-4)
+    got = {r["doc_id"]: r["log_prob"] for r in rows_of(quality_lm.log_probabilities(docs, model, unknown, hot))}
+    assert np.allclose([got[i] for i in range(len(texts))], plain_kneser_ney(train, [t or "" for t in texts], least_count), atol=1e-3)
+
+
+def test_thresholds_part_good_from_bad(spark):
+    rows = [("a", 1, float(x)) for x in range(1000)] + [("a", 0, 991.5), ("b", 1, 5.0)]
+    got = {r["lang"]: r for r in rows_of(quality_lm.thresholds(spark.createDataFrame(rows, "lang string, q int, x double"), (0.98, 0.99, 0.995), 0.9, 30))}
+    assert got.keys() == {"a"} and 985 < got["a"]["hi"] < 991.5
+    plain = quality_lm.thresholds(spark.createDataFrame(rows[:1000], "lang string, q int, x double"), (0.98, 0.99), 0.9, 30).first()
+    assert 895 < plain["hi"] < 905
 
 
 def test_quality_keeps_trusted_text_and_drops_junk(spark):
