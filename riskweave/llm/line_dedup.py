@@ -104,50 +104,59 @@ def shared_positions(old: np.ndarray, new: np.ndarray, anchor: np.ndarray) -> np
     return np.flatnonzero(taken)
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, h, text): h tells apart the texts of a repeated doc_id."""
+    body = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("h"), body.alias("text"))
+
+
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, rare: int = 4) -> DataFrame:
-    """(doc_id, removed): the positions of the lines to delete, for documents with any.
+    """(doc_id, h, removed): the positions of the lines to delete, for documents with any; h is xxhash64 of the text.
 
-    Lines are compared without surrounding white space. Of rows with the same doc_id the first text
-    (in order) stands for all; rows with a null doc_id take no part.
+    Lines are compared without surrounding white space. A document is a doc_id and a text, ordered by id
+    and h: rows that repeat both are one document, another text under the same id is another one. Rows
+    with a null doc_id take no part. Which lines of `min_words` words go does not depend on `rare`.
     """
-    lines = F.transform(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[\t\r\x0b\x0c]", " ")))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), lines.alias("l")).where("doc_id is not null")
-    rows = rows.select("doc_id", F.transform("l", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("l", lambda x: F.size(F.split(x, " +")) >= min_words).alias("long"))
-    rows = materialize(rows.groupBy("doc_id").agg(F.min(F.struct("hashes", "long")).alias("x")).select("doc_id", "x.*"))
-    each = rows.select("doc_id", F.explode(F.array_distinct(F.filter("hashes", lambda x, i: F.element_at(F.col("long"), i + 1)))).alias("h"))
-    held = each.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    shared = materialize(each.join(held, "h"))
-    firsts = shared.where("doc_id > first").select(F.col("first").alias("old"), F.col("doc_id").alias("new"))
-    few = shared.where(F.col("n") <= rare).where("n > 2").select("h", "doc_id")
-    closer = few.select("h", F.col("doc_id").alias("old")).join(few.select("h", F.col("doc_id").alias("new")), "h").where("old < new").select("old", "new")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[\t\r\x0b\x0c]", " ")))
+    rows = _keyed(docs, doc_id, text).where("doc_id is not null").select("doc_id", "h", lines.alias("l"))
+    rows = rows.select(F.struct("doc_id", "h").alias("doc"), F.transform("l", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("l", lambda x: F.size(F.split(x, " +")) >= min_words).alias("long"))
+    rows = materialize(rows.groupBy("doc").agg(F.first(F.struct("hashes", "long")).alias("x")).select("doc", "x.*"))
+    each = rows.select("doc", F.explode(F.array_distinct(F.filter("hashes", lambda x, i: F.element_at(F.col("long"), i + 1)))).alias("line"))
+    # written, so that the join is of plain tables and a hot line's rows can be split
+    held = materialize(each.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    shared = materialize(each.join(held, "line"))
+    firsts = shared.where("doc > first").select(F.col("first").alias("old"), F.col("doc").alias("new"))
+    few = shared.where(F.col("n") <= rare).where("n > 2").select("line", "doc")
+    closer = few.select("line", F.col("doc").alias("old")).join(few.select("line", F.col("doc").alias("new")), "line").where("old < new").select("old", "new")
     pairs = materialize(firsts.union(closer).distinct())
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = [], []
-            for k, old, new, anchor in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+            ids, texts, lists = [], [], []
+            for k, h, old, new, anchor in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
                 got = shared_positions(old.values.to_numpy(), new.values.to_numpy(), anchor.values.to_numpy(zero_copy_only=False))
                 if len(got):
                     ids.append(k)
+                    texts.append(h)
                     lists.append(got.astype(np.int32))
             if ids:
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "lines"])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "h", "lines"])
 
-    left = rows.select(F.col("doc_id").alias("old"), F.col("hashes").alias("a"))
-    right = rows.select(F.col("doc_id").alias("new"), F.col("hashes").alias("b"), "long")
-    found = pairs.join(right, "new").join(left, "old").select("new", "a", "b", "long").mapInArrow(align, "doc_id long, lines array<int>")
-    single = found.select("doc_id", F.explode("lines").alias("line")).distinct()
-    return single.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    left = rows.select(F.col("doc").alias("old"), F.col("hashes").alias("a"))
+    right = rows.select(F.col("doc").alias("new"), F.col("hashes").alias("b"), "long")
+    found = pairs.join(right, "new").join(left, "old").select("new.doc_id", "new.h", "a", "b", "long").mapInArrow(align, "doc_id long, h long, lines array<int>")
+    single = found.select("doc_id", "h", F.explode("lines").alias("line")).distinct()
+    return single.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
 def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, rare: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, text (without the deleted lines), n_lines, removed (positions; empty if none).
 
-    A null text stays null and has no lines. Rows with a null doc_id are returned as they are.
+    A null text stays null and has no lines. Rows with a null doc_id are returned as they are. A very long
+    text is aligned as a whole; an empty table gives no rows. Other columns are ignored.
     """
     cut = repeated_lines(docs, doc_id, text, min_words, rare)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(cut, "doc_id", "left").withColumn("l", F.split("text", "\n", -1))
+    rows = _keyed(docs, doc_id, text).join(cut, ["doc_id", "h"], "left").withColumn("l", F.split("text", "\n", -1))
     none = F.array().cast("array<int>")
     left = F.filter("l", lambda x, i: ~F.array_contains(F.col("removed"), i))
     return rows.select("doc_id", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size("l")).cast("long").alias("n_lines"), F.coalesce("removed", none).alias("removed"))

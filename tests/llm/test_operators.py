@@ -415,3 +415,107 @@ def test_chat_layouts(spark):
     odd = spark.createDataFrame([(1, 0, None, None, "z"), (1, None, "user", "hi", "z"), (None, 0, "user", "x" * 100_000, "z")], "conv_id long, turn long, role string, text string, t string")
     back = {r["conv_id"]: r for r in rows_of(chat_format.digests(chat_format.format_chats(chat_format.records_of(odd))))}
     assert back[1]["n_turns"] == 2 and back[1]["turns_sha256"] == hashlib.sha256(b"user\nhi\n\n\n").hexdigest() and back[None]["n_turns"] == 1
+
+
+def test_topk_huge_components(spark):
+    """Components beyond a long are cut, not left out."""
+    rows = [(0, [1.0, 0.0]), (1, [1e17, 0.0]), (2, [2.0, 5.0]), (3, [-1e300, 0.0]), (4, [3e17, 1.0])]
+    got = rows_of(top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>")))
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2**62 - 1), (4, 2**62 - 1), (2, 2 * 1024 * 1024), (3, 1 - 2**62)]
+
+
+def test_topk_several_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr("riskweave.llm.topk_search.QUERY_BLOCK", 7)
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = top_k(table, table.where("vec_id % 3 = 0"), k=3)
+    good = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    want = {(q, n + 1, i, -s) for q in good if q % 3 == 0 for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)[:3])}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows_of(got)} == want
+
+
+@pytest.mark.parametrize("rare", [1, 2, 4, 50])
+def test_line_dedup_whatever_is_rare(spark, rare):
+    """Repeated ids with other texts are documents of their own, and which long lines go does not depend on `rare`."""
+    rng = random.Random(11)
+    lines = [sentence(rng, 7) + f" l{i}" for i in range(12)]
+    texts = [[rng.choice(lines) if rng.random() < 0.5 else f"only here in line {rng.random()} of it" for _ in range(rng.randint(1, 9))] for _ in range(50)]
+    docs = spark.createDataFrame([(d // 2, "\n".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    order = {r["text"]: (r["doc_id"], r["h"]) for r in docs.withColumn("h", F.xxhash64("text")).collect()}
+    seen, want = set(), []
+    for t in sorted(texts, key=lambda t: order["\n".join(t)]):
+        want.append((order["\n".join(t)][0], "\n".join(x for x in t if x not in seen)))
+        seen |= set(t)
+    got = sorted((r["doc_id"], r["text"]) for r in rows_of(deduplicate_lines(docs, rare=rare)))
+    assert got == sorted(want)
+
+
+def test_labelled_sample_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    sample, counts = labelled_sample(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, label int"), "label", 10)
+    assert sorted((r["doc_id"], r["text"]) for r in sample.collect()) == [(1, "text 0"), (2, "other")] and counts == {0: 1, 1: 1}
+
+
+def test_severity_equals_plain_formula(spark):
+    """The distributed scores against the model's formula on Python sets of words."""
+    from riskweave.llm.textblocks import LETTERS_FOLDED, word_chunks
+    import pyarrow as pa
+
+    docs, labels = labelled(200)
+    model = toxicity.fit(frame(spark, docs), toxicity.grades_of(spark.createDataFrame(labels, LABELS)))
+    code = {w: int(next(word_chunks(pa.array([w]), LETTERS_FOLDED))[2][0]) for w in {w for d in docs for w in "".join(c if c.isalpha() else " " for c in d[1]).split()}}
+    weight = dict(zip(model.terms.tolist(), model.weights.tolist(), strict=True))
+    got = {r["doc_id"]: r for r in rows_of(toxicity.severity(frame(spark, docs), model))}
+    for d in docs:
+        x = sum(weight.get(code[w], 0.0) for w in set("".join(c if c.isalpha() else " " for c in d[1]).split()))
+        beyond = [1 / (1 + math.exp(-(x - t))) for t in model.thresholds]
+        assert abs(got[d[0]]["expected_severity"] - sum(beyond)) < 1e-9 and got[d[0]]["toxic"] == (beyond[0] >= 0.5)
+
+
+def test_mixing_equals_plain_minimum(spark):
+    """Rates from the documents' posteriors by plain projected gradient over all rates at once."""
+    docs, labels = labelled(120)
+    got = rows_of(mixing.mixed(frame(spark, docs), mixing.domains_of(spark.createDataFrame(labels + [(1, 0, 0)], LABELS)).union(spark.createDataFrame([(2, 9)], "doc_id long, domain int")), TARGET))
+    t, p, tau = np.array([r["tokens"] for r in got], float), np.array([r["p"] for r in got]), np.array(TARGET)
+    share, rate = t / t.sum(), np.ones(len(t))
+    for _ in range(200_000):
+        rate_next = np.maximum(0, rate - 0.05 * (p @ (((share * rate) @ p - tau) / tau) + 1e-3 * (rate - 1)))
+        if np.abs(rate_next - rate).max() < 1e-9:
+            break
+        rate = rate_next
+    assert np.allclose([r["rate"] for r in got], rate, atol=2e-2)
+
+
+def test_language_scores_equal_plain_python(spark):
+    """identify() against the model applied word by word in plain Python."""
+    rng = random.Random(2)
+    words = {"en": WORD_EN, "de": WORD_DE}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(8)), k) for i in range(200) for k in [("en", "de")[i % 2]]] + [(900, "fuchsbau quickly SCHNELLER", None), (901, "zzz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    known = dict(zip(model.words, model.word_scores, strict=True))
+    for r in rows_of(language_id.identify(docs, model)):
+        text = next(x[1] for x in rows if x[0] == r["doc_id"])
+        total = model.prior + sum(known[w] if w in known else language_id.backed_off(w, model) for w in text.lower().split())
+        share = np.exp(total - total.max())
+        assert r["lang_pred"] == model.languages[int(total.argmax())] and abs(r["score"] - 1 / share.sum()) < 1e-9
+
+
+def test_chat_records_of_any_shape(spark):
+    import json
+
+    deep = "[" * 100_000 + "]" * 100_000
+    nest = {"messages": [{"role": "user", "content": {"a": {}}}]}
+    x = nest["messages"][0]["content"]
+    for _ in range(200):
+        x["a"] = {"a": {}}
+        x = x["a"]
+    shapes = ['{"messages": ["hi"]}', '{"messages": 5}', '{"messages": "abc"}', '{"messages": [{"role": "user", "content": "a"}, "b"]}', '{"conversations": [null, {"from": "gpt", "value": "b"}]}', '{"messages": null}', '{"messages": []}', f'{{"messages": {deep}}}', json.dumps(nest), '{"prompt": ["x"], "response": null}']
+    got = {r["conv_id"]: r for r in rows_of(chat_format.format_chats(spark.createDataFrame(list(enumerate(shapes)), "conv_id long, record string")))}
+    assert len(got) == len(shapes) and all(got[i]["formatted"] is None for i in (0, 1, 2, 3, 4, 7, 8))
+    assert got[5]["n_turns"] == got[6]["n_turns"] == 0 and got[9]["n_turns"] == 2
+    turns = spark.createDataFrame([(1, 0, "human", "a"), (1, 1, "gpt", "b"), (2, 0, "rôle\n", "c")], "conv_id long, turn long, role string, text string")
+    back = {r["conv_id"]: r for r in rows_of(chat_format.digests(chat_format.format_chats(chat_format.records_of(turns))))}
+    assert back[1]["turns_sha256"] == hashlib.sha256(b"human\na\ngpt\nb\n").hexdigest() and back[1]["loss_chars"] == 0
+    assert back[2]["turns_sha256"] == hashlib.sha256("rôle\n\nc\n".encode()).hexdigest()
