@@ -81,27 +81,30 @@ def possibly_repeated(df: DataFrame, hash_column: str, built: tuple[np.ndarray,
     return test(F.col(hash_column))
 
 
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", normalise=None) -> DataFrame:
+def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", normalise=None, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after `normalise` (a function of a Column; none by default); null
     counts as empty. The row with the largest doc_id of a group stays; a null doc_id is the smallest.
-    Of rows that repeat both text and doc_id one is kept. Other columns are ignored.
+    Of rows that repeat both text and doc_id one is kept. Other columns are ignored; an empty table gives
+    no rows. With more than 2**max_bits / 16 rows the filter clears ever fewer of them; then ids and hashes
+    of the others, never texts, shuffle as well, and the result is the same.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     body = normalise(body) if normalise else body
     rows = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.sha2(body.cast("binary"), 256).alias("text_sha256"), F.xxhash64(body).alias("h")))
-    built = repeat_filter(rows, "h", rows.count())
+    built = repeat_filter(rows, "h", rows.count(), max_bits=max_bits)
     rows = rows.withColumn("again", possibly_repeated(rows, "h", built))
     alone = rows.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    again = materialize(rows.where("again").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("times")))  # so that its join below can split a hot text
-    groups = again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
+    # both sides of the join are tables, so that adaptive execution can split a hot text's rows
+    again = materialize(rows.where("again").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("times")))
+    groups = materialize(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size")))
     again = again.join(groups, "text_sha256").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return alone.union(again.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), "text_sha256"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that exact_duplicates drops, all columns kept. Rows the filter clears pass straight through."""
+    """docs without the rows that exact_duplicates drops, all columns kept. Rows the filter clears pass straight through; an empty table stays empty."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     hashes = materialize(docs.select(F.xxhash64(body).alias("h")))
     built = repeat_filter(hashes, "h", hashes.count())
@@ -119,7 +122,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def drop_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """docs without the rows whose doc_id is among ids (one long column of the same name). Rows with a null doc_id stay.
 
-    Only rows that a Bloom filter of the ids may hold shuffle; the others pass straight through.
+    Only rows that a Bloom filter of the ids may hold shuffle; the others pass straight through. No ids, or
+    an empty table, leave docs as it is.
     """
     hashed = materialize(ids.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias(doc_id), F.xxhash64(F.col(doc_id).cast("long")).alias("h")))
     columns = docs.columns
