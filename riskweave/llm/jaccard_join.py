@@ -303,6 +303,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     out = rows.join(table.select("sha", "n", "ckey"), "sha").join(label.withColumnRenamed("node", "ckey"), "ckey", "left").withColumn("group", F.coalesce("component", "ckey"))
     out = materialize(out.select("doc_id", "n", "group"))
-    first = out.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    first = materialize(out.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("component_id")))  # a table, so that the join can split a large group
     out = out.join(first, "group", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
