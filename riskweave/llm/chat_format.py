@@ -20,17 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where each layout keeps its turns. "paths" must occur; any of "optional" may. A mapping has either "each" (a list of turns) or "turns" (fields in order; joined fields make one turn).
+#: Where each layout keeps its turns. "paths" must occur; any of "optional" may. A mapping has either "each" (a list of turns) or "turns" (fields in order; joined fields make one turn). "roles" are the layout's own names of roles.
 MAPPINGS: list[dict] = [
     {"name": "messages", "paths": ["messages", "messages[].content", "messages[].role"], "optional": [], "each": "messages", "role": "role", "text": "content"},
-    {"name": "conversations", "paths": ["conversations", "conversations[].from", "conversations[].value"], "optional": ["system"], "each": "conversations", "role": "from", "text": "value", "first": ["system"]},
+    {"name": "conversations", "paths": ["conversations", "conversations[].from", "conversations[].value"], "optional": ["system"], "each": "conversations", "role": "from", "text": "value", "first": ["system"], "roles": {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}},
     {"name": "prompt", "paths": ["prompt", "response"], "optional": ["system"], "turns": [["system", ["system"]], ["user", ["prompt"]], ["assistant", ["response"]]]},
     {"name": "completion", "paths": ["prompt", "completion"], "optional": [], "turns": [["user", ["prompt"]], ["assistant", ["completion"]]]},
     {"name": "instruction", "paths": ["instruction", "output"], "optional": ["input", "system"], "turns": [["system", ["system"]], ["user", ["instruction", "input"]], ["assistant", ["output"]]]},
     {"name": "question", "paths": ["question", "answer"], "optional": ["context"], "turns": [["user", ["context", "question"]], ["assistant", ["answer"]]]},
     {"name": "empty messages", "paths": ["messages"], "optional": [], "each": "messages", "role": "role", "text": "content"},
 ]
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+MAX_DEPTH = 40  #: paths of a record are followed so far; what lies deeper has its place at that depth
 #: Strings with a meaning in common chat templates; none may occur inside a formatted text.
 CONTROLS = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
@@ -38,11 +38,11 @@ _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 FORMATTED = "conv_id long, layout string, fingerprint string, n_turns long, formatted string, loss_spans array<struct<start:long,end:long>>"
 
 
-def field_paths(value, at: str = "") -> set[str]:
-    if isinstance(value, dict):
-        return set().union(*({p} | field_paths(v, p) for k, v in value.items() for p in [f"{at}.{k}" if at else k]))
-    if isinstance(value, list):
-        return set().union(*(field_paths(v, f"{at}[]") for v in value))
+def field_paths(value, at: str = "", depth: int = MAX_DEPTH) -> set[str]:
+    if depth and isinstance(value, dict):
+        return set().union(*({p} | field_paths(v, p, depth - 1) for k, v in value.items() for p in [f"{at}.{k}" if at else k]))
+    if depth and isinstance(value, list):
+        return set().union(*(field_paths(v, f"{at}[]", depth - 1) for v in value))
     return set()
 
 
@@ -67,12 +67,17 @@ def _text(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def canonical_turns(record: dict, mapping: dict) -> list[tuple[str, str]]:
+def canonical_turns(record: dict, mapping: dict) -> list[tuple[str, str]] | None:
+    """The turns of a record; None if its list of turns is no list of objects (the paths alone do not tell)."""
     if "each" in mapping:
+        items = record[mapping["each"]] or []
+        if not isinstance(items, list) or not all(isinstance(x, dict) for x in items):
+            return None
         turns = [("system", _text(record[k])) for k in mapping.get("first", []) if k in record]
-        for item in record[mapping["each"]] or []:
+        own = mapping.get("roles", {})
+        for item in items:
             role = _text(item.get(mapping["role"]))
-            turns.append((ROLES.get(role, role), _text(item.get(mapping["text"]))))
+            turns.append((own.get(role, role), _text(item.get(mapping["text"]))))
         return turns
     return [(role, "\n".join(_text(record[k]) for k in keys if k in record)) for role, keys in mapping["turns"] if any(k in record for k in keys)]
 
@@ -81,7 +86,7 @@ def template(turns: list[tuple[str, str]]) -> tuple[str, list[dict[str, int]]]:
     """The formatted conversation and the spans of its assistant texts."""
     out, spans, n = [], [], 0
     for role, text in turns:
-        body, head = escape(text), f"<|im_start|>{quote(role, safe=' ')}\n"
+        body, head = escape(text), f"<|im_start|>{quote(role, safe='')}\n"
         if role == "assistant":
             spans.append({"start": n + len(head), "end": n + len(head) + len(body)})
         out += [head, body, "<|im_end|>\n"]
@@ -96,10 +101,11 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 def format_chats(records: DataFrame, conv_id: str = "conv_id", record: str = "record", mappings: list[dict] | None = None) -> DataFrame:
     """One row per record (a JSON string): conv_id, layout, fingerprint, n_turns, formatted, loss_spans.
 
-    A record that is null, not a JSON object or of an unknown layout keeps its row with a null layout
-    and a null `formatted`; its fingerprint (of the object) says what mapping to add. Null texts count
-    as empty, roles are kept as they are but for the usual synonyms, values that are not strings are
-    written as JSON.
+    A record that is null, not a JSON object (or nested too deep to be read) or of an unknown layout keeps
+    its row with a null layout and a null `formatted`; its fingerprint (of the object) says what mapping to
+    add. So does one whose list of turns holds anything but objects. Null texts count as empty, roles are
+    kept as they are but for a mapping's own names, values that are not strings are written as JSON.
+    Repeated rows stay repeated, an empty table gives no rows, other columns are ignored.
     """
     by_print = registry(mappings or MAPPINGS)
     names = [x.split()[0] for x in FORMATTED.split(", ")]
@@ -107,14 +113,15 @@ def format_chats(records: DataFrame, conv_id: str = "conv_id", record: str = "re
     def one(conv, raw) -> tuple:
         try:
             value = json.loads(raw) if raw is not None else None
-        except ValueError:
+        except (ValueError, RecursionError):
             value = None
         if not isinstance(value, dict):
             return conv, None, None, None, None, None
         mark = fingerprint(field_paths(value))
         if (mapping := by_print.get(mark)) is None:
             return conv, None, mark, None, None, None
-        turns = canonical_turns(value, mapping)
+        if (turns := canonical_turns(value, mapping)) is None:
+            return conv, None, mark, None, None, None
         text, spans = template(turns)
         return conv, mapping["name"], mark, len(turns), text, spans
 

@@ -128,16 +128,15 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), r AS (
-  SELECT conv_id, turn, text, role AS own,
-         CASE role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' ELSE role END AS role,
+  SELECT conv_id, turn, text, role,
          regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>|s>|/s>|<SYS>>|</SYS>>)', '<\\\1', 'g'), '\[(INST\]|/INST\])', '[\\\1', 'g') AS escaped
   FROM t
 ), g AS (
   SELECT conv_id, count(*) AS n_turns,
-         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, own, text) AS said,
-         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, own, text), '') AS loss,
-         sum(length('<|im_start|>') + length(role) + 1 + length(escaped) + length('<|im_end|>') + 1) AS chars,
-         list(own ORDER BY turn, own, text) AS roles
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+         sum(length('<|im_start|>') + length(url_encode(role)) + 1 + length(escaped) + length('<|im_end|>') + 1) AS chars,
+         list(role ORDER BY turn, role, text) AS roles
   FROM r GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars,
