@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 QUERY_BLOCK, BIN_BITS, SHARD_ROWS = 1024, 12, 16384
+LARGEST = 2**62 - 1  #: components and scores are cut to that, so that sums of two scores are longs
 BLOCK = "salt long, dim long, ids binary, mat binary"
 
 
@@ -31,9 +32,8 @@ def _vectors(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray, np
     values = column.values.cast(pa.float64())
     flat = values.to_numpy(zero_copy_only=False)  # nulls become nan
     with np.errstate(over="ignore", invalid="ignore"):
-        scaled = np.floor(scale * flat)
-    good = np.isfinite(flat) & (np.abs(scaled) < 2.0**62)
-    bad = np.concatenate([[0], np.cumsum(~good)])
+        scaled = np.clip(np.floor(scale * flat), -(2.0**62), 2.0**62)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
     valid = np.asarray(column.is_valid()) & (bad[offsets[1:]] == bad[offsets[:-1]])
     rows = np.flatnonzero(valid)
     dims = (offsets[1:] - offsets[:-1])[rows]
@@ -65,20 +65,21 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     most = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1]
     if most < 2.0**53:
         return (q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
-    if most < 2.0**63:
+    if most < 2.0**62:
         return q @ c.T
     exact = q.astype(object) @ c.T.astype(object)
-    return np.clip(exact, -(2**62) + 1, 2**62 - 1).astype(np.int64)
+    return np.clip(exact, -LARGEST, LARGEST).astype(np.int64)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of every query, ties to the smaller vec_id.
 
-    Score: inner product of floor(scale * x) as integers, exact (beyond +-2**62 it is cut to that). A
-    query's own vec_id is no candidate of it. Vectors that are null, or hold null or non-finite
+    Score: inner product of floor(scale * x) as integers, exact; components and scores of 2**62 and beyond are
+    cut to that, so that such vectors take part and their scores tie. A query's own vec_id is no candidate of it. Vectors that are null, or hold null or non-finite
     components, and rows with a null vec_id take no part; neither do candidates of another length than
     the query. A repeated query id counts once, with its smallest vector; repeated candidate rows stay
-    repeated. With fewer than k candidates all are returned.
+    repeated. With fewer than k candidates all are returned; an empty table gives no rows. Other columns
+    are ignored.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null")
@@ -112,7 +113,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_i
             yield pa.RecordBatch.from_arrays([pa.array([max(most, default=0.0)], pa.float64())], names=["x"])
 
     longest = [x.select("mat", "dim").mapInArrow(bound, "x double").agg(F.max("x")).first()[0] or 0.0 for x in (packed, candidates)]
-    limit = int(min(longest[0] * longest[1] * (1 + 1e-9) + 2, 2.0**62))  # Cauchy-Schwarz: no score lies beyond
+    limit = min(int(min(longest[0] * longest[1] * (1 + 1e-9) + 2, 2.0**63)), LARGEST)  # Cauchy-Schwarz: no score lies beyond
     bits = (2 * limit).bit_length()
 
     pairs = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))).withColumnRenamed("ids", "cids").withColumnRenamed("mat", "cmat")
