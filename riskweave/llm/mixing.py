@@ -223,10 +223,14 @@ def mixed(docs: DataFrame, labels: DataFrame, target: list[float], doc_id: str =
 
     target: the wanted share of tokens for each domain of `labels` (doc_id, domain). tokens are words
     between white space: none for a null or empty text, whose posterior is that of a text without
-    features. A null doc_id counts as any other. An empty table gives no rows; without two labelled
-    domains all documents belong to the first.
+    features. Null and repeated doc_ids count as any other row, very long texts are read whole. Labels
+    outside the targets' domains are ignored. An empty table gives no rows; without two labelled domains
+    all documents belong to the first.
     """
     keep = keep or [doc_id]
+    if taken := {"tokens", "p", "rate", "copies", "__text"} & {c.lower() for c in keep}:
+        raise ValueError(f"columns to keep must not be called {sorted(taken)}")
+    labels = labels.where(F.col("domain").between(0, len(target) - 1))
     model = fit_domains(docs, labels, "domain", doc_id, text, per_domain)
     members = materialize(with_posteriors(docs, model, len(target), [doc_id], text))
     mix = fit_rates(members, target)

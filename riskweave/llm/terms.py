@@ -19,7 +19,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
 
     `labels` has one integer label a document below n_labels; of contradicting labels the largest
     counts. Labels of documents that docs does not have count nowhere: only ids are compared, and a Bloom
-    filter of the labelled ones keeps most others from being shuffled. What is broadcast to find the texts has n_labels * per_label ids at most.
+    filter of the labelled ones keeps most others from being shuffled. A repeated doc_id counts once, with its
+    smallest text. What is broadcast to find the texts has n_labels * per_label ids at most.
     """
     rows = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = materialize(rows.where(F.col("label").between(0, n_labels - 1)).withColumn("h", F.xxhash64("doc_id")))
@@ -34,7 +35,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     if picked is None:
         return materialize(body.limit(0).select("doc_id", F.lit(0).alias("label"), "text")), {}
-    return materialize(body.join(F.broadcast(materialize(picked)), "doc_id").select("doc_id", "label", "text")), counts
+    found = body.join(F.broadcast(materialize(picked)), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return materialize(found.select("doc_id", "label", "text")), counts
 
 
 def term_rows(texts: pa.Array, terms: np.ndarray, classes=LETTERS_FOLDED) -> tuple[np.ndarray, np.ndarray]:
