@@ -14,7 +14,6 @@ from __future__ import annotations
 import functools
 import itertools
 import os
-import threading
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, WINDOW, CACHE = 4096, 1 << 20, 1_500_000
+CAPACITY, WINDOW, CACHE_BYTES = 4096, 1 << 20, 160 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
@@ -36,17 +35,18 @@ class ChunkEncoder:
     and its splitter act on each side of a white space alone).
     """
 
-    def __init__(self, path: str, cache: int = CACHE) -> None:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        self.tokenizer, self.cache_bytes = Tokenizer.from_file(path), cache_bytes
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark_id, self.mark = max(special, default=(-1, ""))
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.held = 0  # bytes of the memo: chunks with a dictionary entry each, and their ids
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.starts, self.lens = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
@@ -76,9 +76,10 @@ class ChunkEncoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
         self.known.update(zip(chunks, range(n, m), strict=True))
+        self.held += sum(map(len, chunks)) + 150 * len(chunks) + 4 * len(ids)
 
     def encode(self, texts: list[str | bytes]) -> list[np.ndarray]:
-        if len(self.known) > self.cache:
+        if self.held > self.cache_bytes:
             self.clear()
         words: list[bytes] = []
         cut = [0]
@@ -100,24 +101,10 @@ class ChunkEncoder:
 
 @functools.lru_cache(1)
 def encoder_of(path: str) -> ChunkEncoder:
-    """One encoder for the tasks that a Python worker runs one after another."""
+    """One encoder for the tasks that a Python worker runs one after another; its memo is bounded by bytes."""
     return ChunkEncoder(path)
 
 
-_idle: list[threading.Timer] = []  # at most one: drops this worker's encoder
-
-
-def keep_encoder(seconds: float | None) -> None:
-    """Drop the worker's encoder after so many seconds without a task (None: not while a task runs), so that later stages in the same worker have its memory."""
-    while _idle:
-        _idle.pop().cancel()
-    if seconds is not None:
-        timer = threading.Timer(seconds, encoder_of.cache_clear)
-        timer.daemon = True
-        _idle.append(timer)
-        timer.start()
-
-
 class Packer:
     def __init__(self, capacity: int, quadratic: float, first_id: int) -> None:
         self.capacity, self.quadratic, self.next_id = capacity, quadratic, first_id
@@ -186,13 +173,13 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
 
     A null text counts as empty and gives the end id alone; repeated rows are packed once each. Each
     sequence is full or has a power of two of tokens; capacity must be a power of two. Other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. Costs are balanced within a window of `window` tokens of one
+    task; whole sequences cut from long documents cost the most and are left as they are.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_encoder(None)
         encoder = encoder_of(tokenizer_path)
         packer = Packer(capacity, quadratic, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], np.int32)
@@ -224,7 +211,6 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
                         yield flush()
                 a = b
         packer.pack(last=True)
-        keep_encoder(2.0)
         if packer.rows:
             yield flush()
 
