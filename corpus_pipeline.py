@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import mixing, quality_lm
-from riskweave.llm.common import materialize, table
+from riskweave.llm.common import materialize, spare_name, table
 from riskweave.llm.exact_dedup import deduplicate, drop_ids
 from riskweave.llm.jaccard_join import near_duplicates
 from riskweave.llm.packing import pack
@@ -23,9 +23,11 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under trusted text is within their language's quantile."""
-    scored = quality_lm.classify(docs, table(spark, sf_dir, "labels"))
-    return drop_ids(docs, scored.where("not kept").select("doc_id"))
+    """Documents whose perplexity under trusted text is within their language's quantile; decided for each text and language, whatever its doc_id."""
+    key = spare_name(docs.columns, "key")
+    keyed = docs.withColumn(key, F.xxhash64("text", "lang"))
+    scored = quality_lm.classify(keyed, table(spark, sf_dir, "labels"), keep=key)
+    return drop_ids(keyed, scored.where("not kept").select(key), key).drop(key)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id."""
-    return drop_ids(docs, near_duplicates(docs).where("component_id <> doc_id").select("doc_id"))
+    """Of each component of near copies the document with the smallest doc_id; one without an id only if no other has one."""
+    key, own = spare_name(docs.columns, "key"), F.col("doc_id")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    group = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias(key), "component_id").distinct()
+    several = group.where(f"component_id <> {key}").select("component_id").distinct()
+    members = materialize(group.join(several, "component_id", "left_semi").join(keyed.select(key, own.alias("own")), key))
+    first = materialize(members.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", key)).alias("first")).select("component_id", F.col(f"first.{key}").alias("stays")))
+    return drop_ids(keyed, members.join(first, "component_id").where(f"{key} <> stays").select(key), key).drop(key)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
