@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pow2_at_least, spare_name
+from .common import materialize, pow2_at_least, spare_name, tidy
 from .textblocks import U64, mix
 
 BITS_PER_ROW, MAX_BITS, PROBES = 16, 28, 2
@@ -62,7 +62,7 @@ def repeat_filter(rows: DataFrame, hash_column: str, n_rows: int, probes: int =
             once[a] = True
         return pa.table({"bucket": pa.array([rows["bucket"][0].as_py()], pa.int64()), "bits": pa.array([np.packbits(twice if least == 2 else once).tobytes()], pa.binary())})
 
-    parts = rows.select(hash_column).mapInArrow(local, "bucket long, once binary, twice binary")
+    parts = rows.select(hash_column).mapInArrow(tidy(local), "bucket long, once binary, twice binary")
     array, size = np.zeros(1 << (bits - 3), np.uint8), 1 << (width - 3)
     for row in parts.groupBy("bucket").applyInArrow(merged, "bucket long, bits binary").toLocalIterator(prefetchPartitions=True):
         array[row["bucket"] * size : (row["bucket"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)

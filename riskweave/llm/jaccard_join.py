@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pow2_at_least, text_bytes
+from .common import materialize, pow2_at_least, text_bytes, tidy
 from .components import connected_components
 from .exact_dedup import possibly_repeated, repeat_filter
 from .textblocks import U64, mix, shingle_sets
@@ -102,7 +102,7 @@ def count_shingles(docs: DataFrame, text: str, width: int, bucket_bits: int, bit
             out.append(np.packbits(bits).tobytes())
         return pa.table({"bucket": pa.array([rows["bucket"][0].as_py()], pa.int64()), "twice": pa.array([out[0]], pa.binary()), "often": pa.array([out[1]], pa.binary())})
 
-    parts = docs.select(text).mapInArrow(local, "bucket long, keys binary, more binary")
+    parts = docs.select(text).mapInArrow(tidy(local), "bucket long, keys binary, more binary")
     size = 1 << (bitmap_bits - bucket_bits - 3)
     arrays = [np.zeros(1 << (bitmap_bits - 3), np.uint8) for _ in range(2)]
     for row in parts.groupBy("bucket").applyInArrow(merged, "bucket long, twice binary, often binary").toLocalIterator(prefetchPartitions=True):
@@ -174,7 +174,7 @@ def shingled(texts: DataFrame, width: int, percent: int, bitmap_bits: int, bitma
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return texts.select("sha", "text").mapInArrow(run, "sha binary, n long, ckey long, sigs array<long>, tokens binary")
+    return texts.select("sha", "text").mapInArrow(tidy(run), "sha binary, n long, ckey long, sigs array<long>, tokens binary")
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -192,7 +192,7 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
     left = tokens.select(F.col("ckey").alias("b"), F.col("tokens").alias("y"))
     right = tokens.select(F.col("ckey").alias("a"), F.col("tokens").alias("x"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

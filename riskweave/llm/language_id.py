@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, tidy
+
 ORDERS = 5
 UNDETERMINED = "und"
 
@@ -61,7 +63,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             for lang in pc.unique(batch.column(1)).to_pylist():
                 words = words_of(batch.column(0).filter(pc.equal(batch.column(1), lang))).flatten()
                 for x in pc.value_counts(words).to_pylist():
@@ -76,7 +78,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             part = keys[a : a + 100_000]
             yield pa.record_batch([pa.array([k[0] for k in part], pa.int64()), pa.array([k[1] for k in part]), pa.array([k[2] for k in part]), pa.array([seen[k] for k in part], pa.int64())], names=["size", "piece", "lang", "n"])
 
-    sums = training_rows(docs, doc_id, text, lang, per_language).mapInArrow(count, "size long, piece string, lang string, n long").groupBy("size", "piece", "lang").agg(F.sum("n").alias("n"))
+    sums = training_rows(docs, doc_id, text, lang, per_language).mapInArrow(tidy(count), "size long, piece string, lang string, n long").groupBy("size", "piece", "lang").agg(F.sum("n").alias("n"))
     pieces = sums.groupBy("size", "piece").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("total"))
     pieces = pieces.where("total > 1 or size > 0").persist()
     rows = [r for size in range(ORDERS + 1) for r in pieces.where(F.col("size") == size).orderBy(F.desc("total"), "piece").limit(max_grams if size else max_words).collect()]
@@ -121,8 +123,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, doc_id: str = "doc_id
         vocabulary = pa.array(m.words if m else [], pa.string())
         unseen: dict[str, np.ndarray] = {}
         for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                batch = whole.slice(a, 1000)
+            for batch in slices(whole, 2):
                 texts = batch.column(2)
                 n = batch.num_rows
                 some = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
@@ -152,4 +153,4 @@ def identify(docs: DataFrame, model: LanguageModel | None, doc_id: str = "doc_id
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")

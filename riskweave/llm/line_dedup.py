@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .textblocks import U64, mix
 
 
@@ -144,7 +144,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     left = rows.select(F.col("doc").alias("old"), F.col("hashes").alias("a"))
     right = rows.select(F.col("doc").alias("new"), F.col("hashes").alias("b"), "long")
-    found = pairs.join(right, "new").join(left, "old").select("new.doc_id", "new.h", "a", "b", "long").mapInArrow(align, "doc_id long, h long, lines array<int>")
+    found = pairs.join(right, "new").join(left, "old").select("new.doc_id", "new.h", "a", "b", "long").mapInArrow(tidy(align), "doc_id long, h long, lines array<int>")
     single = found.select("doc_id", "h", F.explode("lines").alias("line")).distinct()
     return single.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 

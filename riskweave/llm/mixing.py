@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices, tidy
 from .terms import labelled_sample, sample_matrix, telling_terms, term_rows
 from .textblocks import string_buffers, word_chunks
 
@@ -131,7 +131,7 @@ def with_posteriors(docs: DataFrame, model: DomainModel | None, domains: int, ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, len(keep))):
             texts = batch.column(len(keep))
             p = np.zeros((batch.num_rows, domains))
             if m is None:
@@ -143,7 +143,7 @@ def with_posteriors(docs: DataFrame, model: DomainModel | None, domains: int, ke
 
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(run, f"{schema}, tokens long, p array<double>")
+    return rows.mapInArrow(tidy(run), f"{schema}, tokens long, p array<double>")
 
 
 def fit_rates(members: DataFrame, target: list[float], ridge: float = 1e-3, steps: int = 40, tolerance: float = 1e-5) -> Mix:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .exact_dedup import possibly_repeated, repeat_filter
 from .textblocks import LETTERS_FOLDED, U64, word_chunks
 
@@ -77,7 +77,7 @@ def telling_terms(sample: DataFrame, least_z: float = 4.0, max_terms: int = 2000
     if len(totals) < 2:
         return np.empty(0, U64)
     every = sum(totals.values())
-    sums = sample.select(F.col("label").cast("long"), "text").mapInArrow(count, "term long, label long, n long")
+    sums = sample.select(F.col("label").cast("long"), "text").mapInArrow(tidy(count), "term long, label long, n long")
     by = sums.groupBy("term").agg(F.sum("n").alias("df"), *(F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in totals)).where("df >= 3")
     best = F.lit(0.0)
     for k, n in totals.items():

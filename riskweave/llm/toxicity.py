@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .terms import labelled_sample, sample_matrix, telling_terms, term_rows
 
 
@@ -99,7 +100,7 @@ def severity(docs: DataFrame, model: OrdinalModel | None, doc_id: str = "doc_id"
                 grade, toxic = m.grades[each.argmax(axis=1)], beyond[:, 0] >= 0.5
             yield pa.record_batch([batch.column(0), pa.array(expected, pa.float64()), pa.array(grade, pa.int64()), pa.array(toxic)], names=["doc_id", "expected_severity", "grade", "toxic"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, expected_severity double, grade long, toxic boolean")
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(tidy(run), "doc_id long, expected_severity double, grade long, toxic boolean")
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
