@@ -59,6 +59,19 @@ def distinct_deltas(rows: DataFrame, name: str, window: int | None = None) -> Da
     return times.select("key", both.alias("x")).select("key", "x.*")
 
 
+def trailing_max(values: DataFrame, probes: DataFrame, window: int, name: str, span: int = SPAN) -> DataFrame:
+    """(probe, name): the largest value (key, at, v) of a probe's key in the `window` ms before it; null over nothing.
+
+    Values are dealt to the span of time they fall in and to the next if they still count there, so that a
+    hub's history is worked on by many tasks.
+    """
+    spans = F.array_distinct(F.array(F.floor(F.col("at") / span), F.floor((F.col("at") + window) / span)))
+    rows = values.select("key", "at", F.col("v"), F.explode(spans).alias("span"), F.lit(None).cast(probes.schema["probe"].dataType).alias("probe"))
+    rows = rows.unionByName(probes.select("key", "at", F.lit(None).cast(values.schema["v"].dataType).alias("v"), F.floor(F.col("at") / span).alias("span"), "probe"))
+    w = Window.partitionBy("key", "span").orderBy("at").rangeBetween(-window, -1)
+    return rows.withColumn(name, F.max("v").over(w)).where("probe is not null").select("probe", name)
+
+
 def together(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -148,6 +161,12 @@ def sender_block(events: DataFrame, legs: DataFrame) -> DataFrame:
     return asof(together(deltas), probes_of(events, "sender"), sums, ("sender_max_out_cents", "sender_last_out"), ("sender_first_seen",)).withColumnRenamed("probe", "event_id")
 
 
+def inflow_peak(events: DataFrame, legs: DataFrame) -> DataFrame:
+    """(event_id, sender_recent_inflow_max_cents): the largest amount the sender received in the 7 days before."""
+    got = trailing_max(side(legs, "in").select("key", "at", F.col("cents").alias("v")), probes_of(events, "sender"), 7 * DAY, "sender_recent_inflow_max_cents")
+    return got.withColumnRenamed("probe", "event_id")
+
+
 def pair_block(events: DataFrame, legs: DataFrame) -> DataFrame:
     """(event_id, pair_*): the sender's earlier transfers to this very destination."""
     out = side(legs, "out")
@@ -164,15 +183,23 @@ def pair_block(events: DataFrame, legs: DataFrame) -> DataFrame:
 
 
 def shared_block(events: DataFrame, legs: DataFrame) -> DataFrame:
-    """(event_id, shared_counterparties): peers that both ends had met before the event."""
+    """(event_id, shared_counterparties): peers that both ends had met before the event.
+
+    Of each pair of an event the peers of the end that has fewer are looked up at the other end, so that a
+    hub costs what its customers have, never all pairs of them.
+    """
     met = legs.groupBy("address", "peer").agg(F.min("block_time").alias("met"))
-    a = met.select(F.col("address").alias("sender"), "peer", F.col("met").alias("met_a"))
-    b = met.select(F.col("address").alias("destination"), "peer", F.col("met").alias("met_b"))
-    common = a.join(b, "peer").where("sender <> destination").select("sender", "destination", F.greatest("met_a", "met_b").alias("since"))
+    degree = met.groupBy("address").agg(F.count("*").alias("peers"))
     pairs = events.select("sender", "destination").distinct()
-    since = common.join(pairs, ["sender", "destination"]).groupBy("sender", "destination").agg(F.array_sort(F.collect_list("since")).alias("since"))
-    n = F.size(F.filter(F.coalesce("since", F.array().cast("array<bigint>")), lambda x: x < F.col("event_time"))).cast("long")
-    return events.join(since, ["sender", "destination"], "left").select("event_id", n.alias("shared_counterparties"))
+    for end in ("sender", "destination"):
+        pairs = pairs.join(degree.withColumnsRenamed({"address": end, "peers": f"{end}_peers"}), end)
+    first = F.col("sender_peers") <= F.col("destination_peers")
+    pairs = pairs.select("sender", "destination", F.when(first, F.col("sender")).otherwise(F.col("destination")).alias("near"), F.when(first, F.col("destination")).otherwise(F.col("sender")).alias("far"))
+    near = pairs.where("sender <> destination").join(met.select(F.col("address").alias("near"), "peer", F.col("met").alias("a")), "near")
+    both = near.join(met.select(F.col("address").alias("far"), "peer", F.col("met").alias("b")), ["far", "peer"])
+    since = both.select(F.concat_ws("|", "sender", "destination").alias("key"), F.greatest("a", "b").alias("at"), F.lit(1).cast("long").alias("shared_counterparties"))
+    probes = events.select(F.col("event_id").alias("probe"), F.concat_ws("|", "sender", "destination").alias("key"), F.col("event_time").alias("at"))
+    return asof(since, probes, ["shared_counterparties"]).withColumnRenamed("probe", "event_id")
 
 
 def funder_fanout(events: DataFrame, legs: DataFrame) -> DataFrame:
@@ -195,7 +222,9 @@ def payout_fanin(events: DataFrame, legs: DataFrame) -> DataFrame:
 
 
 def median_block(events: DataFrame, legs: DataFrame, sweep: DataFrame) -> DataFrame:
-    """(event_id, sender_median_out_cents, dest_median_hold_secs, dest_p25_hold_secs)."""
+    """(event_id, sender_median_out_cents, sender_median_in_cents, dest_median_hold_secs, dest_p25_hold_secs)."""
     amounts = asof_quantiles(side(legs, "out").select("key", "at", F.col("cents").alias("v")), probes_of(events, "sender"), {"sender_median_out_cents": 0.5})
     holds = asof_quantiles(sweep.select(F.col("address").alias("key"), F.col("block_time").alias("at"), (F.col("hold_ms") / 1000).alias("v")), probes_of(events, "destination"), {"dest_median_hold_secs": 0.5, "dest_p25_hold_secs": 0.25})
+    received = asof_quantiles(side(legs, "in").select("key", "at", F.col("cents").alias("v")), probes_of(events, "sender"), {"sender_median_in_cents": 0.5})
+    amounts = amounts.join(received, "probe", "left")
     return events.select("event_id").join(amounts.withColumnRenamed("probe", "event_id"), "event_id", "left").join(holds.withColumnRenamed("probe", "event_id"), "event_id", "left")

@@ -17,7 +17,7 @@ EPS = 1e-9
 
 # The model's columns by family.
 DESTINATION = ["dest_age_days", "dest_inbound_count", "dest_outbound_count", "dest_senders_all", "dest_senders_1d", "dest_senders_7d", "dest_senders_30d", "dest_inbound_usd_7d", "dest_inbound_usd_30d", "dest_inbound_count_7d", "dest_distinct_out", "dest_consolidation_ratio", "dest_median_hold_secs", "dest_p25_hold_secs", "dest_funder_fanout", "dest_forward_ratio", "dest_in_out_ratio", "dest_usd_per_sender"]
-SENDER = ["sender_age_days", "sender_outbound_count", "sender_distinct_dests", "sender_distinct_counterparties", "sender_median_out_usd", "sender_max_out_usd", "sender_lifetime_out_usd", "sender_balance_proxy_usd", "sender_burst_1h", "sender_burst_24h", "sender_burst_7d", "sender_recent_inflow_usd_7d", "sender_secs_since_last_out", "sender_out_mean_usd", "sender_out_std_usd", "sender_outflow_usd_7d", "sender_outflow_usd_30d", "sender_distinct_dests_7d", "sender_distinct_dests_30d", "amount_vs_sender_median", "amount_vs_sender_max", "amount_vs_balance", "amount_share_of_lifetime_out", "amount_zscore_own", "sender_dormancy_days", "sender_drawdown_7d", "sender_dest_churn_7d", "sender_recent_dest_share", "sender_passthrough_7d", "sender_outflow_accel", "sender_burst_accel", "sender_lifetime_rate", "sender_rate_vs_lifetime", "sender_value_rate_vs_lifetime", "sender_inflow_cover_7d"]
+SENDER = ["sender_age_days", "sender_outbound_count", "sender_distinct_dests", "sender_distinct_counterparties", "sender_median_out_usd", "sender_max_out_usd", "sender_lifetime_out_usd", "sender_balance_proxy_usd", "sender_burst_1h", "sender_burst_24h", "sender_burst_7d", "sender_recent_inflow_max_usd", "sender_recent_inflow_usd_7d", "sender_secs_since_last_out", "sender_out_mean_usd", "sender_out_std_usd", "sender_outflow_usd_7d", "sender_outflow_usd_30d", "sender_distinct_dests_7d", "sender_distinct_dests_30d", "sender_median_in_usd", "amount_vs_sender_median", "amount_vs_sender_max", "amount_vs_balance", "amount_share_of_lifetime_out", "amount_zscore_own", "sender_dormancy_days", "sender_drawdown_7d", "sender_dest_churn_7d", "sender_recent_dest_share", "sender_passthrough_7d", "sender_outflow_accel", "sender_burst_accel", "sender_lifetime_rate", "sender_rate_vs_lifetime", "sender_value_rate_vs_lifetime", "sender_inflow_cover_7d"]
 RELATIONSHIP = ["sender_prior_sends_to_dest", "pair_prior_usd", "pair_secs_since_last", "pair_span_days", "escalation_ratio", "escalation_vs_first", "pair_peak_vs_first", "is_first_send_to_dest", "first_send_to_young_dest", "shared_counterparties", "no_shared_counterparties", "pair_outflow_usd_7d", "pair_outflow_usd_all", "pair_share_of_outflow_7d", "pair_share_of_outflow_all"]
 CONTEXT = ["amount_usd", "event_hour", "hour_deviation", "amount_round_1k", "amount_round_100"]
 FEATURE_COLUMNS = DESTINATION + SENDER + RELATIONSHIP + CONTEXT
@@ -71,6 +71,8 @@ def derive(blocks: DataFrame) -> DataFrame:
         "sender_burst_24h",
         "sender_burst_7d",
         usd("sender_recent_inflow_cents_7d").alias("sender_recent_inflow_usd_7d"),
+        _or(usd("sender_recent_inflow_max_cents"), 0.0).alias("sender_recent_inflow_max_usd"),
+        _or(usd("sender_median_in_cents"), 0.0).alias("sender_median_in_usd"),
         ((t - c("sender_last_out")) / 1000.0).alias("sender_secs_since_last_out"),
         _or(F.when(has_sent, c("sender_lifetime_out_cents") / sent / 100.0), 0.0).alias("sender_out_mean_usd"),
         F.when(sent > 1, F.sqrt(((c("sender_out_squares") * sent - c("sender_lifetime_out_cents").cast("decimal(19,0)") * c("sender_lifetime_out_cents")).cast("double")) / sent / (sent - 1)) / 100.0).alias("std"),
@@ -131,7 +133,7 @@ def derive(blocks: DataFrame) -> DataFrame:
 
 
 class FeatureEngine:
-    """Legs and hold times of a warehouse of transfers, made once and used for any number of event sets."""
+    """Legs and hold times of a warehouse of transfers, for any number of event sets. They are lazy: pass transfers that are written (or cached) to read them once."""
 
     def __init__(self, transfers: DataFrame) -> None:
         self.legs = legs(clean(transfers))
@@ -142,6 +144,7 @@ class FeatureEngine:
         for block in (
             asof.destination_block(events, self.legs),
             asof.sender_block(events, self.legs),
+            asof.inflow_peak(events, self.legs),
             asof.pair_block(events, self.legs),
             asof.shared_block(events, self.legs),
             asof.funder_fanout(events, self.legs),

@@ -51,9 +51,8 @@ def spans(legs_: DataFrame) -> DataFrame:
 
 
 def coverage(legs_: DataFrame, truncated: DataFrame) -> DataFrame:
-    """(address, truncated, last_fetched, complete_until) from (address, truncated)."""
-    last = spans(legs_).select("address", F.col("last_seen").alias("last_fetched"))
-    rows = truncated.join(last, "address", "left")
+    """(address, truncated, last_fetched, complete_until) of every address seen; one that `truncated` (address, truncated) does not list counts as complete."""
+    rows = spans(legs_).select("address", F.col("last_seen").alias("last_fetched")).join(truncated, "address", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
     return rows.select("address", "truncated", "last_fetched", F.when(F.col("truncated"), F.col("last_fetched")).otherwise(F.lit(COMPLETE)).alias("complete_until"))
 
 

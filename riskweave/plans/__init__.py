@@ -1 +1,6 @@
+"""Registered queries with their SQL equivalents."""
 
+from . import evaluation, labelling, matrix, serving  # noqa: F401  each registers its queries
+from .catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

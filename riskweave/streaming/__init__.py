@@ -1 +1,61 @@
+"""Transfers and freezes as streams: micro-batches appended once, features from the stored warehouse, earliest freezes kept.
 
+The trailing windows of a feature are relative to each event, so they are no tumbling windows: a
+micro-batch of events is joined as of its times with the stored warehouse (`score_stream`).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+KEYS = ["tx_hash", "to_address"]
+
+
+def deduplicated(stream: DataFrame, keys: list[str] = KEYS, late: str = "2 days") -> DataFrame:
+    """A stream of transfers without repeats among those at most `late` apart; block_time is epoch ms."""
+    timed = stream.withColumn("arrived", F.timestamp_millis("block_time"))
+    return timed.withWatermark("arrived", late).dropDuplicatesWithinWatermark(keys).drop("arrived")
+
+
+def append_new(batch: DataFrame, warehouse: str, keys: list[str] = KEYS) -> None:
+    """Append the rows of a micro-batch that the warehouse (a Parquet folder) does not have; running a batch again appends nothing."""
+    spark = batch.sparkSession
+    fresh = batch.dropDuplicates(keys)
+    try:
+        known = spark.read.schema(batch.schema).parquet(warehouse).select(*keys)
+        fresh = fresh.join(known, keys, "left_anti")
+    except Exception as e:  # the first batch: there is no folder yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    fresh.write.mode("append").parquet(warehouse)
+
+
+def ingest(stream: DataFrame, warehouse: str, checkpoint: str, keys: list[str] = KEYS) -> StreamingQuery:
+    """Append what is there now, each transfer once however often it is delivered."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: append_new(batch, warehouse, keys)).start()
+
+
+def score_stream(events: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame], warehouse: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Write score(events of a micro-batch, stored transfers) to a folder a batch, so that a repeated batch replaces its own rows."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        stored = batch.sparkSession.read.parquet(warehouse)
+        score(batch, stored).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(one).start()
+
+
+def earliest_freezes(stream: DataFrame, late: str = "2 days") -> DataFrame:
+    """(address, block_time) of a stream of freezes with re-reads: the earliest of each address; for update or complete mode."""
+    timed = stream.withColumn("seen", F.timestamp_millis("block_time")).withWatermark("seen", late)
+    return timed.groupBy("address").agg(F.min("block_time").alias("block_time"))
+
+
+def chain(spark: SparkSession, jobs: list[Callable[[SparkSession], StreamingQuery]]) -> None:
+    """Run AvailableNow jobs in order, each after the one before has taken in all there was."""
+    for job in jobs:
+        job(spark).awaitTermination()
