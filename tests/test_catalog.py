@@ -18,7 +18,7 @@ def rows_of(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["a2_transfers", "e1_sweep", "e4_dedupe", "b10_within_coverage", "d13_coverage", "g3_pair_block", "g2_inflow_peak", "c5_payout_fanin", "c7_shared_counterparties", "c9_price_as_of", "k1_thresholds", "k6_protected", "k10_stability", "i3_label_basis", "i5_positive_events", "l4_verdicts", "a13_tron_rows", "l11_report", "k3_ranking_metrics", "d11_label_aggregate", "d22_lead_times", "k20_payment_recall", "i13_age_balanced", "k24_address_report", "k25_latency"])
+@pytest.mark.parametrize("name", ["a2_transfers", "e1_sweep", "e4_dedupe", "b10_within_coverage", "d13_coverage", "g3_pair_block", "g2_inflow_peak", "c5_payout_fanin", "c7_shared_counterparties", "c9_price_as_of", "k1_thresholds", "k6_protected", "k10_stability", "i3_label_basis", "i5_positive_events", "l4_verdicts", "a13_tron_rows", "l11_report", "k3_ranking_metrics", "d11_label_aggregate", "d22_lead_times", "k20_payment_recall", "i13_age_balanced", "k24_address_report", "k25_latency", "i17_all_combined", "i18_attack_report", "k12_sequential_sweep", "c6_peer_links", "c17_payout_batch"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in os.listdir(SF):
