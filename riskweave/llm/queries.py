@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, quality_lm, toxicity
+from . import language_id, manifest_queries, mixing, quality_lm, toxicity
 from .chat_format import digests, format_chats, records_of
 from .common import table
 from .exact_dedup import exact_duplicates
@@ -146,8 +146,8 @@ FROM g
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_search, op2_toxicity, op3_ngram_jaccard_join, op4_source_mixing, op5_line_dedup, op6_language_id, op7_exact_dedup, op8_quality_classifier, op9_packing, op10_chat_format)}
+    return {f.__name__: f for f in (op1_topk_search, op2_toxicity, op3_ngram_jaccard_join, op4_source_mixing, op5_line_dedup, op6_language_id, op7_exact_dedup, op8_quality_classifier, op9_packing, op10_chat_format)} | manifest_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_topk_search": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op10_chat_format": OP10_SQL} | manifest_queries.oracle_sql()
