@@ -1,15 +1,16 @@
 """Phrase collocation mining by growing contiguous patterns from the prefixes they begin with.
 
-Words are counted first; only frequent ones can be part of a phrase. Each occurrence of two frequent words
-next to each other is then projected: a pointer with the words that follow, up to the first infrequent one
-or the end of the piece, goes to the task of its prefix. Equal pointers of a task travel as one with their
-number. A prefix's task counts the words that follow it and grows each frequent extension to the right,
-depth first, over the pointers that have it.
+Words are counted first, then pairs of neighbours: only frequent ones can be part of a phrase. Each
+occurrence of a frequent pair is then projected: a pointer with the words that follow, as far as each two
+of them are a frequent pair, goes to the task of its prefix. Equal pointers of a task travel as one with
+their number. A prefix's task counts the words that follow it and grows each frequent extension to the
+right, depth first, over the pointers that have it.
 
 Prefixes share buckets. A bucket with more pointers than a task should hold is dealt out again, first by
 further bits of its prefixes' hash, then, as then a single prefix must be what fills it, by ever longer
 prefixes; occurrences of the shorter ones are added up beside it. So no task holds a hot prefix, and no
-pointer is dropped.
+pointer is dropped. What is frequent is told to the tasks by Bloom filters of bounded size, whose errors
+only send pointers in vain.
 
 Words are known by 64-bit ids in between; that no two words share one where it could matter is checked on
 the counts, and another seed is taken otherwise.
@@ -32,8 +33,8 @@ LONGEST, LEAST, MOST = 5, 100, 2000
 BUCKET_POINTERS, MAX_BUCKET_BITS, TASK_POINTERS = 1 << 17, 12, 1 << 21
 FLUSH = 1 << 19
 SALTS = 64
-#: By which prefix a round deals pointers out: its words, and the bits of its hash that the rounds before have used.
-ROUNDS = [(2, 0), (2, MAX_BUCKET_BITS), (3, 0), (4, 0), (5, 0)]
+#: By which prefix a round deals pointers out.
+ROUNDS = [2, 2, 3, 4, 5]
 WORD = "lang string, id long, word string, n long"
 BUCKET = "lang string, bucket long, pointers long, packed binary, words array<long>, n long"
 PHRASE = "lang string, words array<long>, a long"
@@ -90,16 +91,22 @@ def count_words(docs: DataFrame, seed: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), WORD).groupBy("lang", "id", "word").agg(F.sum("n").alias("n"))
 
 
-def pointers(ids: np.ndarray, pieces: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """A column a pointer, a row a word of it: two frequent words and what follows them (0: nothing)."""
-    out = np.zeros((LONGEST, len(ids)), U64)
-    out[0], valid = ids, frequent.copy()
-    for k in range(1, LONGEST):
-        valid[len(ids) - k :] = False
-        m = max(0, len(ids) - k)
-        valid[:m] &= frequent[k:] & (pieces[k:] == pieces[:m])
-        out[k, :m] = np.where(valid[:m], ids[k:], U64(0))
-    return out[:, out[1] != 0]
+def may_hold(built: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
+    array, size = built
+    at = _positions(hashes.view(np.int64), size, PROBES).astype(np.int64)
+    return ((array[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+
+
+def pointers(ids: np.ndarray, joined: np.ndarray, width: int) -> np.ndarray:
+    """A column a word, in `width` rows it and the words after it as far as each is joined to the one before (0 beyond)."""
+    out = np.zeros((width, len(ids)), U64)
+    out[0], valid = ids, np.ones(len(ids), bool)
+    joined = np.append(joined, np.zeros(width, bool))
+    for k in range(1, width):
+        valid &= joined[k - 1 : k - 1 + len(ids)]
+        at = np.flatnonzero(valid)
+        out[k, at] = ids[at + k]
+    return out
 
 
 def prefix_hash(rows: np.ndarray, depth: int) -> np.ndarray:
@@ -110,10 +117,9 @@ def prefix_hash(rows: np.ndarray, depth: int) -> np.ndarray:
 
 
 def dealt(lang: str, rows: np.ndarray, n: np.ndarray, depth: int, used: int, bits: int) -> Iterator[tuple]:
-    """(lang, bucket, pointers, packed) of pointers, equal ones merged, by the hash of their first `depth` words."""
-    h = prefix_hash(rows, depth)
-    bucket = (h << U64(used)) >> U64(64 - bits) if bits else np.zeros(len(h), U64)
-    order = np.lexsort((prefix_hash(rows, LONGEST), h, bucket))
+    """(lang, bucket, pointers, packed) of pointers, equal ones merged, by `bits` bits of the hash of their first `depth` words after the first `used`."""
+    bucket = (prefix_hash(rows, depth) << U64(used)) >> U64(64 - bits) if bits else np.zeros(rows.shape[1], U64)
+    order = np.lexsort([*rows[::-1], bucket])
     rows, n, bucket = rows[:, order], n[order], bucket[order]
     first = np.flatnonzero(np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)))
     n, rows, bucket = np.add.reduceat(n, first), rows[:, first], bucket[first]
@@ -123,10 +129,10 @@ def dealt(lang: str, rows: np.ndarray, n: np.ndarray, depth: int, used: int, bit
         yield lang, int(bucket[a]), b - a, packed
 
 
-def unpacked(sizes: list[int], packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(pa.decompress(x, 8 * (LONGEST + 1) * m, codec="zstd", asbytes=True), np.int64).reshape(LONGEST + 1, m) for m, x in zip(sizes, packed, strict=True)]
+def unpacked(sizes: list[int], packed: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.frombuffer(pa.decompress(x, 8 * (width + 1) * m, codec="zstd", asbytes=True), np.int64).reshape(width + 1, m) for m, x in zip(sizes, packed, strict=True)]
     both = np.concatenate(parts, axis=1)
-    return both[:LONGEST].view(U64), both[LONGEST]
+    return both[:width].view(U64), both[width]
 
 
 def _buckets(rows: list[tuple]) -> pa.RecordBatch:
@@ -134,24 +140,30 @@ def _buckets(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*(r + (None,) * (6 - len(r)) for r in rows), strict=True), types, strict=True)], names=[x.split()[0] for x in BUCKET.split(", ")])
 
 
-def project(docs: DataFrame, seed: int, built: tuple[np.ndarray, int], bits: int) -> DataFrame:
+def project(docs: DataFrame, seed: int, built: tuple[np.ndarray, int], width: int, bits: int) -> DataFrame:
+    """BUCKET rows of pointers: of width 2 to neighbours that may both be among the words of the filter, of more to three words and more of which each two may be among its pairs."""
     held = docs.sparkSession.sparkContext.broadcast(built)  # 2**28 bits at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array, size = held.value
         waiting: dict[str, list[np.ndarray]] = {}
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             rows = np.concatenate(waiting.pop(lang), axis=1)
             if rows.shape[1]:
-                out = list(dealt(lang, rows, np.ones(rows.shape[1], np.int64), *ROUNDS[0], bits))
+                out = list(dealt(lang, rows, np.ones(rows.shape[1], np.int64), 2, 0, bits))
                 yield from (_buckets(out[i : i + 500]) for i in range(0, len(out), 500))
 
         for lang, texts in by_lang(batches):
             *_, ids, pieces = word_ids(texts, seed)
-            at = _positions(ids.view(np.int64), size, PROBES).astype(np.int64)
-            frequent = ((array[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
-            waiting.setdefault(lang, []).append(pointers(ids, pieces, frequent))
+            same = pieces[1:] == pieces[:-1]
+            if width == 2:
+                may = may_hold(held.value, ids)
+                rows = pointers(ids, same & may[1:] & may[:-1], width)
+                rows = rows[:, rows[1] != 0]
+            else:
+                rows = pointers(ids, same & may_hold(held.value, prefix_hash(np.stack([ids[:-1], ids[1:]]), 2)), width)
+                rows = rows[:, rows[2] != 0]
+            waiting.setdefault(lang, []).append(rows)
             if sum(x.shape[1] for x in waiting[lang]) >= FLUSH:
                 yield from flush(lang)
             if len(waiting) > 64 or sum(x.shape[1] for xs in waiting.values() for x in xs) >= 2 * FLUSH:
@@ -163,14 +175,14 @@ def project(docs: DataFrame, seed: int, built: tuple[np.ndarray, int], bits: int
     return docs.mapInArrow(tidy(run), BUCKET)
 
 
-def dealt_again(buckets: DataFrame, depth: int, used: int, bits: int, before: int) -> DataFrame:
-    """Pointers of full buckets by a longer prefix or further bits of its hash, and as rows of (lang, words, n) the occurrences of the prefixes shorter than that."""
+def dealt_again(buckets: DataFrame, width: int, depth: int, used: int, bits: int, before: int) -> DataFrame:
+    """Pointers of buckets by a longer prefix or further bits of its hash, and as rows of (lang, words, n) the occurrences of the prefixes shorter than that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, size, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows, n = unpacked([size], [packed])
-                out = [] if depth == before else [(lang, None, None, None, words, int(m)) for words, m in heads(rows, n, before, 1)]
+                rows, n = unpacked([size], [packed], width)
+                out = [] if before in (2, depth) else [(lang, None, None, None, words, int(m)) for _, words, m in _runs(rows, n, np.flatnonzero(rows[before - 1]), range(before), 1)]
                 deep = rows[depth - 1] != 0
                 out += list(dealt(lang, rows[:, deep], n[deep], depth, used, bits)) if deep.any() else []
                 yield from (_buckets(out[i : i + 500]) for i in range(0, len(out), 500))
@@ -178,13 +190,10 @@ def dealt_again(buckets: DataFrame, depth: int, used: int, bits: int, before: in
     return buckets.select("lang", "pointers", "packed").mapInArrow(tidy(run), BUCKET)
 
 
-def heads(rows: np.ndarray, n: np.ndarray, depth: int, least: int) -> Iterator[tuple[list[int], int]]:
-    """(first `depth` words, occurrences) of pointers, where there are at least `least`."""
-    for _, words, m in _runs(rows, n, np.arange(len(n)), range(depth), least):
-        yield words, m
-
-
 def _runs(rows: np.ndarray, n: np.ndarray, at: np.ndarray, depths: range, least: int) -> Iterator[tuple[np.ndarray, list[int], int]]:
+    """(pointers, their words at `depths`, occurrences) of the pointers `at` by these words, where there are at least `least`."""
+    if not len(at):
+        return
     order = at[np.lexsort([rows[k, at] for k in reversed(depths)])]
     keys = rows[depths.start : depths.stop, order]
     first = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
@@ -196,65 +205,85 @@ def _runs(rows: np.ndarray, n: np.ndarray, at: np.ndarray, depths: range, least:
 
 def grown(rows: np.ndarray, n: np.ndarray, depth: int, least: int) -> Iterator[tuple[list[int], int]]:
     """All phrases of `depth` words or more with at least `least` occurrences, depth first: a stack of prefixes with the pointers that have them."""
-    at = np.flatnonzero(rows[depth - 1])
-    stack = [(found, words, m) for found, words, m in _runs(rows, n, at, range(depth), least)] if len(at) else []
+    stack = list(_runs(rows, n, np.flatnonzero(rows[depth - 1]), range(depth), least))
     while stack:
         at, words, m = stack.pop()
         yield words, m
         k = len(words)
-        if k < LONGEST:
+        if k < len(rows):
             at = at[rows[k, at] != 0]
-            if len(at) and n[at].sum() >= least:
+            if n[at].sum() >= least:
                 stack += [(found, words + more, m) for found, more, m in _runs(rows, n, at, range(k, k + 1), least)]
 
 
-def mined(buckets: DataFrame, depth: int, least: int) -> DataFrame:
-    """PHRASE: what a task finds among the pointers of its bucket's prefixes."""
+def mined(buckets: DataFrame, width: int, depth: int, least: int) -> DataFrame:
+    """PHRASE: what a task finds among the pointers of its bucket's prefixes; of wider pointers, what is longer than a pair."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows, n = unpacked(group["pointers"].to_pylist(), group["packed"].to_pylist())
-        found = list(grown(rows, n, depth, least))
+        rows, n = unpacked(group["pointers"].to_pylist(), group["packed"].to_pylist(), width)
+        found = [(w, m) for w, m in grown(rows, n, depth, least) if width == 2 or len(w) > 2]
         lang = group["lang"][0].as_py()
         return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "words": pa.array([w for w, _ in found], pa.list_(pa.int64())), "a": pa.array([m for _, m in found], pa.int64())})
 
     return buckets.select("lang", "bucket", "pointers", "packed").groupBy("lang", "bucket").applyInArrow(run, PHRASE)
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, task_pointers: int = TASK_POINTERS, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(words, phrases) of docs (lang, text without nulls): WORD for all words, PHRASE for the phrases of 2 to 5 words with at least `least` occurrences."""
+def frequent_words(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """(WORD, the seed of its ids)."""
     for seed in range(0, 16, 2):
         words = materialize(count_words(docs, seed))
         shared = words.groupBy("lang", "id").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
         if shared.where((F.col("k") > 1) & (F.col("n") >= least)).isEmpty():
-            break
-    else:
-        raise ValueError("words share ids under every seed")
+            return words, seed
+    raise ValueError("words share ids under every seed")
+
+
+def frequent_pairs(docs: DataFrame, words: DataFrame, seed: int, least: int, bits: int) -> DataFrame:
+    """PHRASE of two words. Pairs of a task travel once, so that their buckets are even; with more buckets than a task should write at once, they are dealt out in two steps."""
     often = words.where(F.col("n") >= least).select("id").distinct()
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    built = repeat_filter(often, "id", often.count(), least=1)
-    wanted = min(MAX_BUCKET_BITS, pow2_at_least(total / BUCKET_POINTERS).bit_length() - 1) if bits is None else bits
-    left, parts = materialize(project(docs, seed, built, wanted)), []
-    for i, (depth, _) in enumerate(ROUNDS):
+    first = min(bits, MAX_BUCKET_BITS)
+    pairs = project(docs, seed, repeat_filter(often, "id", often.count(), least=1), 2, first)
+    if bits > first:
+        pairs = dealt_again(materialize(pairs), 2, 2, first, bits - first, 2)
+    return materialize(mined(pairs, 2, 2, least))
+
+
+def longer_phrases(docs: DataFrame, pairs: DataFrame, seed: int, least: int, bits: int, task_pointers: int) -> DataFrame:
+    """PHRASE of three words and more."""
+
+    @F.arrow_udf("long")
+    def pair_hash(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(prefix_hash(np.stack([x.to_numpy(zero_copy_only=False).astype(np.int64).view(U64) for x in (a, b)]), 2).view(np.int64))
+
+    often = materialize(pairs.select(pair_hash(F.col("words")[0], F.col("words")[1]).alias("h")).distinct())
+    bits = min(bits, MAX_BUCKET_BITS)
+    left, parts = materialize(project(docs, seed, repeat_filter(often, "h", often.count(), least=1), LONGEST, bits)), []
+    for i, depth in enumerate(ROUNDS):
         held = left.where("bucket is not null")
-        if i + 1 == len(ROUNDS):
-            parts.append(mined(held, depth, least))
-            break
-        full = materialize(held.groupBy("lang", "bucket").agg(F.sum("pointers").alias("held")).where(F.col("held") > task_pointers).select("lang", "bucket"))
-        if full.isEmpty():
-            parts.append(mined(held, depth, least))
+        full = held.groupBy("lang", "bucket").agg(F.sum("pointers").alias("held")).where(F.col("held") > task_pointers).select("lang", "bucket")
+        if i + 1 == len(ROUNDS) or (full := materialize(full)).isEmpty():
+            parts.append(mined(held, LONGEST, depth, least))
             break
-        parts.append(mined(held.join(full, ["lang", "bucket"], "left_anti"), depth, least))
-        again, used = ROUNDS[i + 1]
-        # a new bucket is one of an old one: buckets of different old ones may meet, prefixes never part
-        left = materialize(dealt_again(held.join(full, ["lang", "bucket"], "left_semi"), again, used, MAX_BUCKET_BITS if bits is None else bits, depth))
+        parts.append(mined(held.join(full, ["lang", "bucket"], "left_anti"), LONGEST, depth, least))
+        # buckets of different old ones may meet, prefixes never part
+        left = materialize(dealt_again(held.join(full, ["lang", "bucket"], "left_semi"), LONGEST, ROUNDS[i + 1], bits if ROUNDS[i + 1] == depth else 0, MAX_BUCKET_BITS, depth))
         parts.append(left.where("bucket is null").groupBy("lang", "words").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return words, materialize(out)
+    return out
+
+
+def frequent_phrases(docs: DataFrame, least: int = LEAST, bucket_pointers: int = BUCKET_POINTERS, task_pointers: int = TASK_POINTERS) -> tuple[DataFrame, DataFrame]:
+    """(words, phrases) of docs (lang, text without nulls): WORD for all words, PHRASE for the phrases of 2 to 5 words with at least `least` occurrences."""
+    words, seed = frequent_words(docs, least)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    bits = pow2_at_least(total / bucket_pointers).bit_length() - 1
+    pairs = frequent_pairs(docs, words, seed, least, bits)
+    return words, materialize(pairs.unionByName(longer_phrases(docs, pairs, seed, least, bits, task_pointers)))
 
 
-def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, share: int = 100, most: int = MOST, **tuning: int | None) -> DataFrame:
+def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, share: int = 100, most: int = MOST, **tuning: int) -> DataFrame:
     """The first `most` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     A phrase is 2 to 5 words in a row that occur at least `least` times; its score is that of its weakest
