@@ -29,13 +29,13 @@ def asof(deltas: DataFrame, probes: DataFrame, sums: list[str], peaks: tuple[str
     """
     kinds = {f.name: f.dataType for f in deltas.schema}
     folds = {**dict.fromkeys(sums, F.sum), **dict.fromkeys(peaks, F.max), **dict.fromkeys(lows, F.min)}
-    rows = deltas.select("key", "at", F.lit(1).alias("turn"), F.lit(None).cast(probes.schema["probe"].dataType).alias("probe"), *folds)
+    rows = deltas.where("key is not null").select("key", "at", F.lit(1).alias("turn"), F.lit(None).cast(probes.schema["probe"].dataType).alias("probe"), *folds)
     rows = rows.unionByName(probes.select("key", "at", F.lit(0).alias("turn"), "probe"), allowMissingColumns=True).withColumn("span", F.floor(F.col("at") / span))
     before = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     total = rows.groupBy("key", "span").agg(*(f(c).alias(c) for c, f in folds.items()))
     carried = total.select("key", "span", *(f(c).over(before).alias(f"_{c}") for c, f in folds.items()))
     upto = Window.partitionBy("key", "span").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.select("key", "span", "turn", "probe", *(f(c).over(upto).alias(c) for c, f in folds.items())).where("turn = 0").join(carried, ["key", "span"])
+    run = rows.select("key", "span", "turn", "probe", *(f(c).over(upto).alias(c) for c, f in folds.items())).where("turn = 0").join(carried, ["key", "span"], "left")  # a probe without a key has no history
     zero = F.lit(0)
     out = [(F.coalesce(c, zero) + F.coalesce(f"_{c}", zero)).cast(kinds[c]).alias(c) for c in sums]
     out += [F.greatest(c, f"_{c}").alias(c) for c in peaks] + [F.least(c, f"_{c}").alias(c) for c in lows]
@@ -183,7 +183,7 @@ def pair_block(events: DataFrame, legs: DataFrame) -> DataFrame:
 
 
 def shared_block(events: DataFrame, legs: DataFrame) -> DataFrame:
-    """(event_id, shared_counterparties): peers that both ends had met before the event.
+    """(event_id, shared_counterparties): peers that both ends had met before the event; of a payment to oneself all of them.
 
     Of each pair of an event the peers of the end that has fewer are looked up at the other end, so that a
     hub costs what its customers have, never all pairs of them.
@@ -195,7 +195,7 @@ def shared_block(events: DataFrame, legs: DataFrame) -> DataFrame:
         pairs = pairs.join(degree.withColumnsRenamed({"address": end, "peers": f"{end}_peers"}), end)
     first = F.col("sender_peers") <= F.col("destination_peers")
     pairs = pairs.select("sender", "destination", F.when(first, F.col("sender")).otherwise(F.col("destination")).alias("near"), F.when(first, F.col("destination")).otherwise(F.col("sender")).alias("far"))
-    near = pairs.where("sender <> destination").join(met.select(F.col("address").alias("near"), "peer", F.col("met").alias("a")), "near")
+    near = pairs.join(met.select(F.col("address").alias("near"), "peer", F.col("met").alias("a")), "near")
     both = near.join(met.select(F.col("address").alias("far"), "peer", F.col("met").alias("b")), ["far", "peer"])
     since = both.select(F.concat_ws("|", "sender", "destination").alias("key"), F.greatest("a", "b").alias("at"), F.lit(1).cast("long").alias("shared_counterparties"))
     probes = events.select(F.col("event_id").alias("probe"), F.concat_ws("|", "sender", "destination").alias("key"), F.col("event_time").alias("at"))

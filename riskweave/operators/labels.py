@@ -23,15 +23,16 @@ def aggregate_reports(reports: DataFrame) -> DataFrame:
 
 
 def destination_profiles(transfers: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Whole-history facts of these addresses that ever received: for vetting labels, never for a model."""
-    wanted = addresses.select("address").distinct()
-    into = transfers.withColumnRenamed("to_address", "address").join(wanted, "address", "left_semi").groupBy("address").agg(
+    """Whole-history facts of these addresses (address, chain) that ever received on their chain: for vetting labels, never for a model."""
+    keys = ["address", "chain"]
+    wanted = addresses.select(*keys).distinct()
+    into = transfers.withColumnRenamed("to_address", "address").join(wanted, keys, "left_semi").groupBy(*keys).agg(
         F.count("*").alias("inbound_count"), F.count_distinct("from_address").alias("distinct_inbound_senders"), F.sum("cents").alias("inbound_cents"),
         F.median("cents").alias("median_inbound_cents"), F.min("block_time").alias("first_seen"), F.max("block_time").alias("last_inbound"))
-    per = transfers.withColumnRenamed("from_address", "address").join(wanted, "address", "left_semi").groupBy("address", "to_address").agg(F.sum("cents").alias("v"), F.count("*").alias("n"))
-    out = per.groupBy("address").agg(F.sum("n").alias("outbound_count"), F.count("*").alias("distinct_outbound_dests"), F.sum("v").alias("outbound_cents"), F.max("v").alias("top"))
+    per = transfers.withColumnRenamed("from_address", "address").join(wanted, keys, "left_semi").groupBy(*keys, "to_address").agg(F.sum("cents").alias("v"), F.count("*").alias("n"))
+    out = per.groupBy(*keys).agg(F.sum("n").alias("outbound_count"), F.count("*").alias("distinct_outbound_dests"), F.sum("v").alias("outbound_cents"), F.max("v").alias("top"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return into.join(out, "address", "left").select(*into.columns, *map(zero, ("outbound_count", "outbound_cents", "distinct_outbound_dests")), F.coalesce(F.col("top") / F.col("outbound_cents"), F.lit(0.0)).alias("consolidation_ratio"), (F.col("inbound_cents") / F.col("distinct_inbound_senders")).alias("cents_per_sender"))
+    return into.join(out, keys, "left").select(*into.columns, *map(zero, ("outbound_count", "outbound_cents", "distinct_outbound_dests")), F.coalesce(F.col("top") / F.col("outbound_cents"), F.lit(0.0)).alias("consolidation_ratio"), (F.col("inbound_cents") / F.col("distinct_inbound_senders")).alias("cents_per_sender"))
 
 
 def collection_like() -> Column:
@@ -42,8 +43,8 @@ def collection_like() -> Column:
 
 
 def finalise(aggregated: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Labels with their on-chain corroboration, whether they are accepted and on what basis."""
-    rows = aggregated.join(profiles, "address", "left").withColumn("corroborated_onchain", collection_like())
+    """Labels with their corroboration on their own chain, whether they are accepted and on what basis."""
+    rows = aggregated.join(profiles, ["address", "chain"], "left").withColumn("corroborated_onchain", collection_like())
     basis = F.when(F.col("source_count") >= MIN_SOURCES, "multi_source").when(F.col("max_source_weight") >= 1.0, "authoritative_single_source").when(F.col("corroborated_onchain"), "report_plus_onchain_pattern").otherwise("uncorroborated")
     return rows.select(*aggregated.columns, "corroborated_onchain", (F.col("corroborated_offchain") | F.col("corroborated_onchain")).alias("accepted"), basis.alias("label_basis"))
 

@@ -16,7 +16,7 @@ def entry_hash(prev: Column, payload: Column) -> Column:
 
 
 def verify(log: DataFrame) -> DataFrame:
-    """One row of a log (seq, prev, hash, payload): entries, first_bad (seq; null if none), problem, head.
+    """One row of a log (seq, prev, hash, payload): entries, first_bad (seq; null if none), problem (chain: it does not follow the one before; content: its hash is not its own), head.
 
     An entry is checked against its own payload and the hash of the one before it, which a join by seq
     brings: no window orders the log in one task. seq counts from 0 without gaps.
@@ -25,7 +25,7 @@ def verify(log: DataFrame) -> DataFrame:
     rows = log.join(before, "seq", "left").withColumn("want", F.when(F.col("seq") == 0, GENESIS).otherwise(F.col("want")))
     unchained = ~F.col("prev").eqNullSafe(F.col("want"))
     changed = ~F.col("hash").eqNullSafe(entry_hash(F.col("prev"), F.col("payload")))
-    bad = F.when(unchained, "prev does not match chain").when(changed, "content does not match its hash")
+    bad = F.when(unchained, "chain").when(changed, "content")
     first = F.min(F.when(bad.isNotNull(), F.struct("seq", bad.alias("problem")))).alias("first")
     got = rows.agg(F.count("*").alias("entries"), first, F.max_by("hash", "seq").alias("head"))
     return got.select("entries", F.col("first.seq").alias("first_bad"), F.col("first.problem").alias("problem"), F.coalesce("head", F.lit(GENESIS)).alias("head"))

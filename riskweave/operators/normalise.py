@@ -39,7 +39,7 @@ def is_evm_address(x: Column) -> Column:
 
 OUT = ["chain", "tx_hash", "from_address", "to_address", "amount_usd", "asset", "block_time"]
 _TRON = "type string, transaction_id string, `from` string, `to` string, value string, block_timestamp long, token_info struct<symbol:string,decimals:string>"
-_BLOCKSCOUT = "transaction_hash string, timestamp string, `from` struct<hash:string>, `to` struct<hash:string>, total struct<value:string,decimals:string>, token struct<symbol:string>"
+_BLOCKSCOUT = "transaction_hash string, timestamp string, `from` struct<hash:string>, `to` struct<hash:string>, total struct<value:string,decimals:string>, token struct<symbol:string,decimals:string>"
 _ETHERSCAN = "hash string, timeStamp string, `from` string, `to` string, value string, contractAddress string, isError string, txreceipt_status string"
 
 
@@ -48,19 +48,25 @@ def _whole(value: Column, decimals: Column) -> Column:
     return value.try_cast("decimal(38,0)").cast("double") / F.pow(F.lit(10.0), decimals)
 
 
+def _decimals(default: int, *said: Column) -> Column:
+    """The first decimals that are said, null if that is no number; `default` if none are."""
+    first = F.coalesce(*said)
+    return F.when(first.isNull(), default).otherwise(first.try_cast("int"))
+
+
 def tron_transfers(raw: DataFrame, column: str = "raw", valid: Callable[[Column], Column] = is_tron_address) -> DataFrame:
-    """Transfers of stable coins between valid addresses, from JSON rows; decimals are 6 unless said."""
+    """Transfers of stable coins between valid addresses, from JSON rows; decimals are 6 unless said, and a row whose decimals are no number is left out."""
     r = raw.select(F.from_json(column, _TRON).alias("r")).select("r.*")
     symbol = F.upper("token_info.symbol")
-    usd = _whole(F.col("value"), F.coalesce(F.col("token_info.decimals").try_cast("int"), F.lit(6)))
+    usd = _whole(F.col("value"), _decimals(6, F.col("token_info.decimals")))
     rows = r.where((F.col("type") == "Transfer") & symbol.isin(STABLE)).where(valid(F.col("from")) & valid(F.col("to")))
     return rows.select(F.lit("tron").alias("chain"), F.col("transaction_id").alias("tx_hash"), F.col("from").alias("from_address"), F.col("to").alias("to_address"), usd.alias("amount_usd"), symbol.alias("asset"), F.col("block_timestamp").alias("block_time")).where("amount_usd is not null")
 
 
 def blockscout_transfers(raw: DataFrame, column: str = "raw", stable: list[str] = STABLE) -> DataFrame:
-    """Transfers by symbol; decimals are 18 unless said, times ISO, addresses in lower case."""
+    """Transfers by symbol; decimals are those of the amount, else of the token, else 18, times ISO, addresses in lower case."""
     r = raw.select(F.from_json(column, _BLOCKSCOUT).alias("r")).select("r.*")
-    usd = _whole(F.col("total.value"), F.coalesce(F.col("total.decimals").try_cast("int"), F.lit(18)))
+    usd = _whole(F.col("total.value"), _decimals(18, F.nullif(F.col("total.decimals"), F.lit("")), F.nullif(F.col("token.decimals"), F.lit(""))))
     at = F.unix_millis(F.try_to_timestamp("timestamp"))
     rows = r.where(F.upper("token.symbol").isin(stable))
     return rows.select(F.lit("ethereum").alias("chain"), F.col("transaction_hash").alias("tx_hash"), F.lower("from.hash").alias("from_address"), F.lower("to.hash").alias("to_address"), usd.alias("amount_usd"), F.upper("token.symbol").alias("asset"), at.alias("block_time")).where("amount_usd is not null and block_time is not null and from_address is not null and to_address is not null")
@@ -69,8 +75,7 @@ def blockscout_transfers(raw: DataFrame, column: str = "raw", stable: list[str]
 def etherscan_tokens(raw: DataFrame, contracts: DataFrame, column: str = "raw") -> DataFrame:
     """Transfers of known contracts (contract, asset, decimals): the contract, not a symbol, says which token it is."""
     r = raw.select(F.from_json(column, _ETHERSCAN).alias("r")).select("r.*").withColumn("contract", F.lower("contractAddress"))
-    known = F.broadcast(contracts.limit(1000))  # a list kept by hand
-    rows = r.join(known, "contract").withColumn("amount_usd", _whole(F.col("value"), F.col("decimals")))
+    rows = r.join(contracts, "contract").withColumn("amount_usd", _whole(F.col("value"), F.col("decimals")))
     at = (F.col("timeStamp").try_cast("long") * 1000).alias("block_time")
     return rows.select(F.lit("ethereum").alias("chain"), F.col("hash").alias("tx_hash"), F.lower("from").alias("from_address"), F.lower("to").alias("to_address"), "amount_usd", "asset", at).where("amount_usd is not null and block_time is not null")
 

@@ -165,10 +165,14 @@ SHARED_SQL = """, met AS (SELECT address, peer, min(block_time) AS met FROM legs
 )"""
 
 
-@query("c7_shared_counterparties", SHARED_SQL + " SELECT event_id, shared_counterparties FROM sh")
+SELF_SQL = """, ev_self AS (SELECT event_id, sender, destination, event_time FROM ev UNION ALL SELECT 'self' || event_id, sender, sender, event_time FROM ev WHERE cents % 50 = 0)"""
+
+
+@query("c7_shared_counterparties", SELF_SQL + SHARED_SQL.replace("FROM ev e", "FROM ev_self e") + " SELECT event_id, shared_counterparties FROM sh")
 def c7_shared_counterparties(spark, sf_dir):
     engine, events = _engine(spark, sf_dir)
-    return asof.shared_block(events, engine.legs)
+    own = events.where("cents % 50 = 0").withColumns({"event_id": F.concat(F.lit("self"), "event_id"), "destination": F.col("sender")})
+    return asof.shared_block(events.unionByName(own), engine.legs)
 
 
 FUNDER_SQL = """, fu AS (

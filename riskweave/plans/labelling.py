@@ -63,7 +63,7 @@ def _events(spark, sf_dir):
 @query("d9_destination_profiles", PROFILE + " SELECT * REPLACE (round(cents_per_sender, 6) AS cents_per_sender, round(consolidation_ratio, 9) AS consolidation_ratio, CAST(median_inbound_cents AS DOUBLE) AS median_inbound_cents) FROM prof")
 def d9_destination_profiles(spark, sf_dir):
     tx, lab, _ = _labels(spark, sf_dir)
-    out = B.destination_profiles(tx, lab)
+    out = B.destination_profiles(tx, lab).drop("chain")
     return out.withColumns({"cents_per_sender": F.round("cents_per_sender", 6), "consolidation_ratio": F.round("consolidation_ratio", 9), "median_inbound_cents": F.col("median_inbound_cents").cast("double")})
 
 
@@ -77,7 +77,7 @@ def b6_retail_collection(spark, sf_dir):
 CASE WHEN source_count >= 2 THEN 'multi_source' WHEN max_source_weight >= 1.0 THEN 'authoritative_single_source' WHEN onchain THEN 'report_plus_onchain_pattern' ELSE 'uncorroborated' END AS label_basis FROM fin""")
 def i3_label_basis(spark, sf_dir):
     tx, lab, _ = _labels(spark, sf_dir)
-    return B.finalise(lab, B.destination_profiles(tx, lab).drop("chain"))
+    return B.finalise(lab, B.destination_profiles(tx, lab))
 
 
 @query("i4_victims", PROFILE + " SELECT * FROM vic")

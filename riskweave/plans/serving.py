@@ -74,21 +74,21 @@ def _s(*parts):
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-@query("a13_tron_rows", " SELECT tx_hash, from_address, to_address, cents * 10000 / power(10.0, 6) AS amount_usd, 'USDT' AS asset, CAST(block_time AS BIGINT) AS block_time FROM tx WHERE cents % 7 <> 0 AND cents % 5 <> 0 AND cents % 11 <> 0")
+@query("a13_tron_rows", " SELECT tx_hash, from_address, to_address, cents * 10000 / power(10.0, 6) AS amount_usd, 'USDT' AS asset, CAST(block_time AS BIGINT) AS block_time FROM tx WHERE cents % 7 <> 0 AND cents % 5 <> 0 AND cents % 11 <> 0 AND cents % 13 <> 0")
 def a13_tron_rows(spark, sf_dir):
     tx = D.derive_transfers(spark, sf_dir)
     c = F.col("cents")
-    info = F.struct(F.when(c % 5 == 0, "SCAM").when(c % 2 == 0, "usdt").otherwise("USDT").alias("symbol"), F.when(c % 3 == 0, F.lit("6")).alias("decimals"))
+    info = F.struct(F.when(c % 5 == 0, "SCAM").when(c % 2 == 0, "usdt").otherwise("USDT").alias("symbol"), F.when(c % 13 == 0, F.lit("six")).when(c % 3 == 0, F.lit("6")).alias("decimals"))
     raw = tx.select(F.to_json(F.struct(F.when(c % 7 == 0, "Approval").otherwise("Transfer").alias("type"), F.col("tx_hash").alias("transaction_id"), F.col("from_address").alias("from"), F.col("to_address").alias("to"), F.when(c % 11 == 0, "x").otherwise((c * 10000).cast("string")).alias("value"), F.col("block_time").alias("block_timestamp"), info.alias("token_info"))).alias("raw"))
     return N.tron_transfers(raw, valid=lambda a: a.rlike("^[CSH][0-9]+$")).drop("chain")
 
 
-@query("a14_blockscout_rows", " SELECT tx_hash, lower(from_address) AS from_address, lower(to_address) AS to_address, CAST(cents || '0000' AS DOUBLE) / power(10.0, 6) AS amount_usd, 'USDC' AS asset, CAST(block_time // 1000 * 1000 AS BIGINT) AS block_time FROM tx WHERE cents % 5 <> 0")
+@query("a14_blockscout_rows", " SELECT tx_hash, lower(from_address) AS from_address, lower(to_address) AS to_address, CAST(cents || '0000' AS DOUBLE) / power(10.0, CASE WHEN cents % 13 = 0 THEN 18 WHEN cents % 3 = 0 THEN 8 ELSE 6 END) AS amount_usd, 'USDC' AS asset, CAST(block_time // 1000 * 1000 AS BIGINT) AS block_time FROM tx WHERE cents % 5 <> 0")
 def a14_blockscout_rows(spark, sf_dir):
     tx = D.derive_transfers(spark, sf_dir)
     iso = F.date_format(F.timestamp_millis("block_time"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     party = lambda c: F.struct(F.col(c).alias("hash"))
-    raw = tx.select(F.to_json(F.struct(F.col("tx_hash").alias("transaction_hash"), iso.alias("timestamp"), party("from_address").alias("from"), party("to_address").alias("to"), F.struct((F.col("cents") * 10000).cast("string").alias("value"), F.lit("6").alias("decimals")).alias("total"), F.struct(F.when(F.col("cents") % 5 == 0, "XYZ").otherwise("USDC").alias("symbol")).alias("token"))).alias("raw"))
+    raw = tx.select(F.to_json(F.struct(F.col("tx_hash").alias("transaction_hash"), iso.alias("timestamp"), party("from_address").alias("from"), party("to_address").alias("to"), F.struct((F.col("cents") * 10000).cast("string").alias("value"), F.when((F.col("cents") % 3 != 0) & (F.col("cents") % 13 != 0), F.lit("6")).alias("decimals")).alias("total"), F.struct(F.when(F.col("cents") % 5 == 0, "XYZ").otherwise("USDC").alias("symbol"), F.when(F.col("cents") % 13 != 0, F.lit("8")).alias("decimals")).alias("token"))).alias("raw"))
     return N.blockscout_transfers(raw).drop("chain")
 
 
@@ -163,7 +163,9 @@ def l11_report(spark, sf_dir):
 
 
 @query("l8_verify", """ , s AS (SELECT s_suppkey AS seq, 'entry ' || s_suppkey AS payload FROM supplier), h AS (SELECT seq, payload, sha256(coalesce(repeat('0', 64), '') || payload) AS own FROM s)
-SELECT count(*) AS entries, CAST(1 AS BIGINT) AS first_bad, 'prev does not match chain' AS problem, (SELECT own FROM h ORDER BY seq DESC LIMIT 1) AS head FROM h""")
+, c AS (SELECT seq, own, CASE WHEN seq = 0 THEN repeat('0', 64) ELSE (SELECT p.own FROM h p WHERE p.seq = h.seq - 1) END AS want FROM h)
+, bad AS (SELECT seq, CASE WHEN want IS DISTINCT FROM repeat('0', 64) THEN 'chain' WHEN own <> sha256(repeat('0', 64) || 'entry ' || seq) THEN 'content' END AS problem FROM c)
+SELECT count(*) AS entries, CAST(min(seq) FILTER (problem IS NOT NULL) AS BIGINT) AS first_bad, arg_min(problem, seq) FILTER (problem IS NOT NULL) AS problem, (SELECT own FROM h ORDER BY seq DESC LIMIT 1) AS head FROM bad""")
 def l8_verify(spark, sf_dir):
     """A log whose entries all hang on the genesis: the second breaks the chain."""
     rows = D.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("seq"), F.lit(ledger.GENESIS).alias("prev"), _s("entry ", F.col("s_suppkey")).alias("payload"))

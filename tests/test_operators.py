@@ -59,7 +59,41 @@ def test_ledger(spark):
     good = ledger.verify(log).first()
     assert good["first_bad"] is None and good["entries"] == 5 and good["head"] == log.where("seq = 4").first()["hash"]
     changed = ledger.verify(log.withColumn("payload", F.when(F.col("seq") == 2, "x").otherwise(F.col("payload")))).first()
-    assert (changed["first_bad"], changed["problem"]) == (2, "content does not match its hash")
+    assert (changed["first_bad"], changed["problem"]) == (2, "content")
     cut = ledger.verify(log.where("seq <> 2")).first()
-    assert (cut["first_bad"], cut["problem"]) == (3, "prev does not match chain")
+    assert (cut["first_bad"], cut["problem"]) == (3, "chain")
     assert ledger.verify(log.limit(0)).first()["head"] == ledger.GENESIS
+
+
+def test_events_without_an_end_stay_in_the_matrix(spark):
+    from riskweave.operators.features import FEATURE_COLUMNS, FeatureEngine
+
+    day = 86_400_000
+    tx = spark.createDataFrame([("1", "a", "b", 5.0, 500, day), ("2", "b", "c", 3.0, 300, 2 * day), ("3", "a", "a", 2.0, 200, 3 * day)], "tx_hash string, from_address string, to_address string, amount_usd double, cents long, block_time long")
+    events = spark.createDataFrame([("both", "a", "b", 100, 9 * day), ("no sender", None, "b", 100, 9 * day), ("no destination", "a", None, 100, 9 * day), ("none", None, None, 100, 9 * day), ("own", "a", "a", 100, 9 * day)], "event_id string, sender string, destination string, cents long, event_time long")
+    got = {r["event_id"]: r.asDict() for r in FeatureEngine(tx).compute(events).select("event_id", *FEATURE_COLUMNS).collect()}
+    assert len(got) == 5
+    assert got["no sender"]["sender_outbound_count"] == 0 and got["no sender"]["dest_inbound_count"] == 1
+    assert got["no destination"]["dest_inbound_count"] == 0 and got["no destination"]["sender_outbound_count"] == 2
+    assert got["none"]["shared_counterparties"] == 0 and got["own"]["shared_counterparties"] == 2  # b and itself
+
+
+def test_labels_meet_profiles_of_their_chain(spark):
+    from riskweave.operators import labels as B
+
+    tx = spark.createDataFrame([(c, f"{c}{i}", f"v{i}", "s", 10_000, i) for c, n in (("one", 7), ("two", 2)) for i in range(n)], "chain string, tx_hash string, from_address string, to_address string, cents long, block_time long")
+    reports = spark.createDataFrame([("s", c, "forum", None, "list", 0.5) for c in ("one", "two", "three")], "address string, chain string, source string, reported_at long, category string, weight double")
+    lab = B.aggregate_reports(reports)
+    got = {r["chain"]: (r["accepted"], r["label_basis"]) for r in B.finalise(lab, B.destination_profiles(tx, lab)).collect()}
+    assert got == {"one": (True, "report_plus_onchain_pattern"), "two": (False, "uncorroborated"), "three": (False, "uncorroborated")}
+
+
+def test_more_contracts_than_a_thousand(spark):
+    from pyspark.sql import functions as F
+
+    from riskweave.operators import normalise as N
+
+    n = 1500
+    contracts = spark.range(n).select(F.concat(F.lit("0x"), "id").alias("contract"), F.lit("AAA").alias("asset"), F.lit(2).alias("decimals"))
+    raw = spark.range(n).select(F.to_json(F.struct(F.col("id").cast("string").alias("hash"), F.lit("5").alias("timeStamp"), F.lit("a").alias("from"), F.lit("b").alias("to"), F.lit("100").alias("value"), F.concat(F.lit("0x"), "id").alias("contractAddress"))).alias("raw"))
+    assert N.etherscan_tokens(raw, contracts).count() == n
