@@ -1 +1,65 @@
+"""Registered queries of nearest values, point-in-time probes and nearest-neighbour matching."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskweave.operators import legs as L
+from riskweave.operators import nearest, order, probes, resampling
+from riskweave.sources import driver_tables as D
+
+from .catalog import query, scored_events
+
+DAY = D.DAY
+SEEN = """, seen AS (SELECT address, min(block_time) AS first_seen, max(block_time) AS last_seen FROM legs GROUP BY 1
+), mk AS (SELECT address, reported_at AS mark FROM reports WHERE reported_at IS NOT NULL"""
+
+
+@query("c19_nearest_value", f"""{SEEN}), v AS (SELECT o_orderkey, epoch_ms(o_orderdate) AS want, epoch_ms(o_orderdate) - (o_custkey % 40) * {10 * DAY} AS least FROM orders)
+SELECT o_orderkey, CAST((SELECT mark FROM mk WHERE mark > least ORDER BY abs(mark - want), mark LIMIT 1) AS BIGINT) AS mark FROM v""")
+def c19_nearest_value(spark, sf_dir):
+    """Of each order the reported freeze nearest to it, of those after a moment of its own."""
+    at = D.epoch_ms("o_orderdate")
+    asked = D.table(spark, sf_dir, "orders").select("o_orderkey", at.alias("want"), (at - F.col("o_custkey") % 40 * F.lit(10 * DAY)).alias("least"))
+    marks = D.scam_reports(spark, sf_dir).where("reported_at is not null").select(F.col("reported_at").alias("value"))
+    return order.nearest(asked, marks, "want", "least").select("o_orderkey", "mark")
+
+
+PROBES_SQL = f"""{SEEN}
+), pos AS (SELECT address, first_seen, CAST(mark AS BIGINT) AS mark FROM mk JOIN seen USING (address)
+), ages AS (SELECT mark - first_seen AS age, row_number() OVER (ORDER BY mark - first_seen) - 1 AS nth FROM pos WHERE mark > first_seen
+), ctl AS (SELECT address, first_seen, CAST('0x' || substr(md5('17|' || address), 1, 8) AS BIGINT) % (SELECT count(*) FROM ages) AS nth FROM seen WHERE address LIKE 'C%'
+), neg AS (SELECT address, c.first_seen, (SELECT mark FROM pos WHERE mark > c.first_seen + {7 * DAY} ORDER BY abs(mark - (c.first_seen + age)), mark LIMIT 1) AS mark FROM ctl c JOIN ages USING (nth)
+), pr AS (
+  SELECT address, label, mark - h * {DAY} AS event_time, mark, CAST(h AS INTEGER) AS horizon FROM (SELECT *, 1 AS label FROM pos UNION ALL SELECT *, 0 FROM neg WHERE mark IS NOT NULL) JOIN seen USING (address) CROSS JOIN (SELECT CAST(unnest([7, 30, 90, 180]) AS BIGINT) AS h)
+  WHERE mark - h * {DAY} > seen.first_seen AND NOT (CAST(substr(address, 2) AS BIGINT) % 3 = 0 AND mark - h * {DAY} > seen.last_seen)
+) SELECT address, label, CAST(event_time AS BIGINT) AS event_time, CAST(mark AS BIGINT) AS mark, horizon, CASE WHEN mark >= (SELECT quantile_cont(mark, 0.7) FROM pr) THEN 'test' ELSE 'train' END AS part FROM pr"""
+
+
+@query("i16_probes", PROBES_SQL)
+def i16_probes(spark, sf_dir):
+    legs = L.legs(L.clean(D.derive_transfers(spark, sf_dir)))
+    seen = L.spans(legs).select("address", "first_seen", "last_seen")
+    marks = D.scam_reports(spark, sf_dir).where("reported_at is not null").select("address", F.col("reported_at").alias("mark"))
+    positives = marks.join(seen, "address").select("address", "first_seen", "mark")
+    covered = seen.select("address", (F.substring("address", 2, 20).cast("long") % 3 == 0).alias("truncated"), "last_seen")
+    return probes.probes(positives, seen.where("address like 'C%'").select("address", "first_seen"), covered)
+
+
+@query("i10_nearest_controls")
+def i10_nearest_controls(spark, sf_dir):
+    """Three controls for each payment to a supplier that issuer and community report, alike in age, number and size, among first or repeated payments."""
+    events = scored_events(spark, sf_dir)
+    n = F.substring("destination", 2, 20).cast("long")
+    first = F.when(F.col("dest_inbound_count") == 0, "first").otherwise("again")
+    rows = events.select("event_id", (n % 35 == 0).cast("int").alias("label"), "dest_age_days", "dest_inbound_count", (F.col("cents") / 100).alias("amount_usd"), first.alias("kind"))
+    out = nearest.match_nearest(rows, 3, ["dest_age_days", "dest_inbound_count", "amount_usd"], F.col("kind"))
+    return out.select("event_id", "control", F.round("distance", 9).alias("distance"))
+
+
+@query("k14_resampled_metrics")
+def k14_resampled_metrics(spark, sf_dir):
+    """Bounds of two ranking metrics of all scored payments, 100 replicates, senders drawn whole."""
+    rows = scored_events(spark, sf_dir).select("sender", "score", (F.substring("destination", 2, 20).cast("long") % 7 == 0).cast("int").alias("label"))
+    out = resampling.bounds(resampling.replicate_metrics(rows, replicates=100, unit="sender"))
+    return out.select("metric", *(F.round(c, 9).alias(c) for c in ("value", "lo", "hi")))
