@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskweave.operators import legs as L
-from riskweave.operators import nearest, order, probes, resampling
+from riskweave.operators import nearest, order, probes, resampling, sampling
 from riskweave.sources import driver_tables as D
 
 from .catalog import query, scored_events
@@ -63,3 +63,29 @@ def k14_resampled_metrics(spark, sf_dir):
     rows = scored_events(spark, sf_dir).select("sender", "score", (F.substring("destination", 2, 20).cast("long") % 7 == 0).cast("int").alias("label"))
     out = resampling.bounds(resampling.replicate_metrics(rows, replicates=100, unit="sender"))
     return out.select("metric", *(F.round(c, 9).alias(c) for c in ("value", "lo", "hi")))
+
+
+WINDOWS_SQL = f"""{SEEN}), win AS (SELECT y * 100 + m AS w, epoch_ms(make_timestamp(y, m, 15, 0, 0, 0)) AS a FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders) CROSS JOIN (SELECT unnest([2, 6, 10]) AS m)
+), shown AS (SELECT w, from_address, to_address, row_number() OVER (PARTITION BY w ORDER BY block_time, tx_hash, to_address) AS k FROM win JOIN tx ON block_time >= a AND block_time < a + {2 * DAY} QUALIFY k <= 400
+), sides AS (SELECT from_address AS address, w, k, 0 AS side FROM shown UNION ALL SELECT to_address, w, k, 1 FROM shown
+), first AS (SELECT address, min((w, k, side)) AS seen FROM sides WHERE address NOT IN (SELECT address FROM reports) GROUP BY 1
+), chosen AS (SELECT * FROM first ORDER BY md5('17|' || address), address LIMIT 500)
+SELECT address, CAST(row_number() OVER (ORDER BY seen) - 1 AS INTEGER) AS place FROM chosen"""
+
+
+@query("a23_firehose", WINDOWS_SQL)
+def a23_firehose(spark, sf_dir):
+    """500 addresses without a report that moved money in the two days from the 15th of three months a year."""
+    year = D.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y")).distinct()
+    month = F.explode(F.array(*map(F.lit, (2, 6, 10)))).alias("m")
+    windows = year.select("y", month).withColumn("day", F.expr("make_timestamp_ntz(y, m, 15, 0, 0, 0)"))
+    windows = windows.select((F.col("y") * 100 + F.col("m")).alias("window"), D.epoch_ms("day").alias("start")).withColumn("stop", F.col("start") + 2 * DAY)
+    return sampling.firehose(D.derive_transfers(spark, sf_dir), windows, D.scam_reports(spark, sf_dir), 500)
+
+
+@query("e13_quota_pick")
+def e13_quota_pick(spark, sf_dir):
+    """Cases to show: up to 12, 8 and 5 payments of each band and label, each of another customer to another supplier."""
+    events = scored_events(spark, sf_dir).withColumn("label", (F.substring("destination", 2, 20).cast("long") % 7 == 0).cast("int"))
+    wanted = [((F.col("label") == y) & (F.col("band") == b), k) for y in (1, 0) for b, k in (("high", 12), ("elevated", 8), ("ordinary", 5))]
+    return sampling.quota_pick(events.select("event_id", "sender", "destination", "label", "band"), wanted)
