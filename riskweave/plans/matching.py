@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskweave.operators import legs as L
 from riskweave.operators import nearest, order, probes, resampling, sampling
 from riskweave.sources import driver_tables as D
+from riskweave.sources import pages
 
 from .catalog import query, scored_events
 
@@ -89,3 +91,20 @@ def e13_quota_pick(spark, sf_dir):
     events = scored_events(spark, sf_dir).withColumn("label", (F.substring("destination", 2, 20).cast("long") % 7 == 0).cast("int"))
     wanted = [((F.col("label") == y) & (F.col("band") == b), k) for y in (1, 0) for b, k in (("high", 12), ("elevated", 8), ("ordinary", 5))]
     return sampling.quota_pick(events.select("event_id", "sender", "destination", "label", "band"), wanted)
+
+
+@query("a20_harvest", """, own AS (SELECT from_address AS address, count(*) AS n FROM tx WHERE from_address LIKE 'C%' GROUP BY 1
+), k AS (SELECT *, CAST(substr(address, 2) AS BIGINT) % 5 = 0 AND n >= 10 AS refused FROM own)
+SELECT address, CASE WHEN refused THEN 2 WHEN n >= 40 THEN 4 ELSE n // 10 + 1 END AS pages, CAST(CASE WHEN refused THEN 10 ELSE least(n, 40) END AS BIGINT) AS rows, refused, CASE WHEN refused THEN NULL ELSE n >= 40 END AS truncated FROM k""")
+def a20_harvest(spark, sf_dir):
+    """Histories of four pages of ten at most, from pages made of the customers' payments; every fifth customer's second page is refused."""
+    tx = D.derive_transfers(spark, sf_dir).where("from_address like 'C%'")
+    nth = F.row_number().over(Window.partitionBy("from_address").orderBy("block_time", "tx_hash")) - 1
+    item = F.struct(F.col("tx_hash").alias("hash"), F.col("cents").cast("string").alias("value"))
+    held = tx.withColumn("page", (F.floor(nth / 10) + 1).cast("int")).groupBy(F.col("from_address").alias("address"), "page").agg(F.collect_list(item).alias("result"))
+    ok = held.select("address", "page", F.to_json(F.struct(F.lit("1").alias("status"), F.lit("OK").alias("message"), "result")).alias("payload"))
+    full = held.groupBy("address").agg(F.max(F.struct("page", F.size("result").alias("n"))).alias("x")).where("x.n = 10")
+    nothing = full.select("address", (F.col("x.page") + 1).alias("page"), F.lit('{"status":"0","message":"No transactions found","result":[]}').alias("payload"))
+    refused = F.when((F.substring("address", 2, 20).cast("long") % 5 == 0) & (F.col("page") == 2), F.lit('{"status":"0","message":"NOTOK","result":"later"}')).otherwise(F.col("payload"))
+    every = ok.unionByName(nothing).select("address", "page", refused.alias("payload")).where("not (address rlike '[05]$' and page > 2)")
+    return pages.histories(every, most=4, page_rows=10)
