@@ -48,3 +48,33 @@ def test_repeats_and_earliest(spark, tmp_path):
     q = streaming.earliest_freezes(freezes).writeStream.format("memory").queryName("first").outputMode("complete").option("checkpointLocation", str(tmp_path / "b")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["address"]: r["block_time"] for r in spark.table("first").collect()} == {f"S{k}": 86_400_000 + k * 86_400_000 // 3 for k in range(5)}
+
+
+def test_changes_of_earliest_freezes(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "changes")
+    schema = "address string, block_time long"
+    parts = [[("a", 50), ("b", 60), ("b", 60), (None, 1), ("c", None)], [("a", 50), ("b", 70), ("d", 10)], [("b", 20), ("a", 50), ("d", 11)], [("b", 20), ("c", 5), ("b", 25)]]
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    changes = []
+    for part in parts:  # each part by a run of its own: the state outlives it
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        streaming.keep_changes(read(), table, str(tmp_path / "c")).awaitTermination()
+        changes.append(sorted(map(tuple, spark.read.parquet(table).select("address", "block_time", "before").collect()), key=str))
+    assert changes[0] == [("a", 50, None), ("b", 60, None)]
+    assert set(changes[1]) - set(changes[0]) == {("d", 10, None)}
+    assert set(changes[2]) - set(changes[1]) == {("b", 20, 60)}
+    assert set(changes[3]) - set(changes[2]) == {("c", 5, None)} and len(changes[3]) == 5  # repeats and later rows change nothing
+    got = {r["address"]: r["block_time"] for r in streaming.earliest_of(spark, table).collect()}
+    assert got == {"a": 50, "b": 20, "c": 5, "d": 10}
+
+
+def test_append_reads_the_days_around_a_batch(spark, tmp_path):
+    store = str(tmp_path / "store")
+    rows = transfers()
+    streaming.append_new(spark.createDataFrame(rows[:60], SCHEMA), store)
+    streaming.append_new(spark.createDataFrame(rows[50:], SCHEMA), store)
+    streaming.append_new(spark.createDataFrame([(*r[:5], r[5] + 1000) for r in rows[:10]], SCHEMA), store)  # the same transfers a second later
+    streaming.append_new(spark.createDataFrame([], SCHEMA), store)
+    streaming.append_new(spark.createDataFrame([("no time", "a", "b", 1.0, 100, None)] * 2, SCHEMA), store)
+    streaming.append_new(spark.createDataFrame([("no time", "a", "b", 1.0, 100, None)], SCHEMA), store)
+    assert spark.read.parquet(store).count() == len(rows) + 1
