@@ -101,7 +101,7 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 def format_chats(records: DataFrame, conv_id: str = "conv_id", record: str = "record", mappings: list[dict] | None = None) -> DataFrame:
     """One row per record (a JSON string): conv_id, layout, fingerprint, n_turns, formatted, loss_spans.
 
-    A record that is null, not a JSON object (or nested too deep to be read) or of an unknown layout keeps
+    A record that is null, not a JSON object (or nested too deep to be read, or with half a surrogate pair) or of an unknown layout keeps
     its row with a null layout and a null `formatted`; its fingerprint (of the object) says what mapping to
     add. So does one whose list of turns holds anything but objects. Null texts count as empty, roles are
     kept as they are but for a mapping's own names, values that are not strings are written as JSON.
@@ -113,6 +113,8 @@ def format_chats(records: DataFrame, conv_id: str = "conv_id", record: str = "re
     def one(conv, raw) -> tuple:
         try:
             value = json.loads(raw) if raw is not None else None
+            if raw and "\\u" in raw:
+                json.dumps(value, ensure_ascii=False).encode()  # half a surrogate pair is no text
         except (ValueError, RecursionError):
             value = None
         if not isinstance(value, dict):

@@ -239,6 +239,16 @@ def test_fold_tells_words_apart():
     assert len(set(fold(data, starts, lens).tolist())) == len({*words})
 
 
+def test_half_a_surrogate_pair_is_no_record(spark):
+    from riskweave.llm import chat_format
+
+    half, whole = "\\ud800", "\\ud83d\\ude00"
+    raw = [f'{{"prompt": "{half}", "response": "a"}}', f'{{"messages": [{{"role": "{half}", "content": "a"}}]}}', f'{{"{half}": 1}}', f'{{"prompt": "{whole}", "response": "b"}}', f'{{"prompt": "\\\\{half[1:]}", "response": "c"}}']
+    records = spark.createDataFrame(list(enumerate(raw)), "conv_id long, record string").repartition(2)
+    got = {r["conv_id"]: r["layout"] for r in chat_format.format_chats(records).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: "prompt", 4: "prompt"}
+
+
 @pytest.mark.parametrize("name", ["op11_merkle_manifest", "op13_phrases"])
 def test_registered_query_equals_its_sql(spark, name):
     import os
