@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .legs import transfer_position
+from .order import quantiles, values_at
 
 # Thresholds that are part of the semantics.
 MIN_SOURCES, MIN_VICTIM_CENTS, MAX_EVENTS_PER_PAIR = 2, 5000, 10
@@ -130,7 +131,9 @@ def mean_differences(rows: DataFrame, covariates: list[str]) -> DataFrame:
     each = F.array(*(F.struct(F.lit(c).alias("covariate"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("v")) for c in covariates))
     long = rows.select("label", F.explode(each).alias("x")).select("label", "x.covariate", "x.v").withColumn("l", F.log1p(F.greatest("v", F.lit(0.0))))
     is_ = lambda k, c: F.when(F.col("label") == k, F.col(c))
-    out = long.groupBy("covariate").agg(*(f(is_(k, c)).alias(f"{n}{k}") for k in (0, 1) for n, f, c in (("median", F.median, "v"), ("mean", F.avg, "l"), ("var", F.var_pop, "l"))))
+    out = long.groupBy("covariate").agg(*(f(is_(k, "l")).alias(f"{n}{k}") for k in (0, 1) for n, f in (("mean", F.avg), ("var", F.var_pop))))
+    middle = quantiles(long, "v", [0.5], "q", ["covariate", "label"]).groupBy("covariate").agg(*(F.max(F.when(F.col("label") == k, F.col("q")[0])).alias(f"median{k}") for k in (0, 1)))
+    out = out.join(middle, "covariate")
     sd = F.sqrt((F.col("var1") + F.col("var0")) / 2)
     smd = (F.col("mean1") - F.col("mean0")) / F.when(sd > 0, sd).otherwise(1.0)
     return out.select("covariate", F.col("median1").alias("pos_median"), F.col("median0").alias("neg_median"), smd.alias("smd"), F.abs(smd).alias("abs_smd"))
@@ -138,10 +141,7 @@ def mean_differences(rows: DataFrame, covariates: list[str]) -> DataFrame:
 
 def nearest_rank(rows: DataFrame, column: str, q: float) -> DataFrame:
     """One row, one column `cut`: the value at rank round(q (n - 1)) in ascending order."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(column).count()  # a row a distinct time
-    n = F.sum("count").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    rank = F.floor(F.lit(q) * (F.col("all") - 1) + 0.5)
-    return counts.withColumn("upto", n).crossJoin(F.broadcast(counts.agg(F.sum("count").alias("all")))).where(F.col("upto") > rank).agg(F.min(column).alias("cut"))
+    return values_at(rows, column, {"cut": lambda n: F.floor(F.lit(q) * (n - 1) + 0.5)}).select("cut")
 
 
 def temporal_split(events: DataFrame, q: float = 0.70) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantiles
+
 PARTS = 64
 PREVALENCES = (0.01, 0.003, 0.001, 0.0003, 0.0001)
 PER = 100_000
@@ -132,8 +134,8 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 def _edges(rows: DataFrame, column: str, bins: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """(keys, edges): the distinct quantiles 0, 1/bins, .., 1 of a column; none with fewer than 3."""
-    points = F.percentile(column, F.array(*(F.lit(i / bins) for i in range(bins + 1))))
-    return rows.groupBy(*keys).agg(F.array_distinct(points).alias("edges")).where(F.size("edges") >= 3)
+    points = quantiles(rows, column, [i / bins for i in range(bins + 1)], "points", keys)
+    return points.select(*keys, F.array_distinct("points").alias("edges")).where(F.size("edges") >= 3)
 
 
 def brier(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ before and after it is a row a piece.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,32 @@ def numbered(rows: DataFrame, keys: list[str], name: str = "nth") -> DataFrame:
     return placed.join(before, "piece").withColumn(name, F.col("before") + F.col("at") - F.col("first")).drop("piece", "at", "first", "before")
 
 
+def values_at(rows: DataFrame, column: str, ranks: dict[str, Callable[[Column], Column]], keys: list[str] | None = None) -> DataFrame:
+    """A row per keys (one row without keys) with `n` and the values at zero-based ascending ranks, each given as a function of n. Nulls do not count; no group's values meet in one task."""
+    keys = keys or []
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("value")).agg(F.count("*").alias("same"))
+    placed = pieces(counts, [*keys, "value"])
+    w = Window.partitionBy(*keys)
+    totals = placed.groupBy(*keys, "piece").agg(F.sum("same").alias("held"))
+    totals = totals.select(*keys, "piece", F.sum("held").over(w).alias("n"), (F.sum("held").over(w.orderBy("piece")) - F.col("held")).alias("before"))  # a row a piece
+    run = F.sum("same").over(Window.partitionBy(*keys, "piece").orderBy("at"))
+    upto = placed.withColumn("run", run).join(totals, [*keys, "piece"]).withColumn("upto", F.col("before") + F.col("run"))
+    found = (F.min(F.when(F.col("upto") > rank(F.col("n")), F.col("value"))).alias(name) for name, rank in ranks.items())
+    return upto.groupBy(*keys).agg(F.max("n").alias("n"), *found)
+
+
+def quantiles(rows: DataFrame, column: str, shares: list[float], name: str = "quantiles", keys: list[str] | None = None) -> DataFrame:
+    """(keys, name): an array of interpolated quantiles, as F.percentile has them."""
+    place = lambda q, n: F.lit(float(q)) * (n - 1)
+    ranks = {f"{side}{i}": (lambda n, q=q, f=f: f(place(q, n))) for i, q in enumerate(shares) for side, f in (("low", F.floor), ("high", F.ceil))}
+    got = values_at(rows, column, ranks, keys)
+    between = []
+    for i, q in enumerate(shares):
+        at, low, high = place(q, F.col("n")), F.col(f"low{i}").cast("double"), F.col(f"high{i}").cast("double")
+        between.append(F.when(F.col(f"low{i}") == F.col(f"high{i}"), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
+    return got.select(*(keys or []), F.array(*between).alias(name))
+
+
 def neighbours(asked: DataFrame, marks: DataFrame, value: str = "value") -> DataFrame:
     """asked with `below`, the greatest mark not above its value, and `above`, the smallest one above it; null where there is none, or no value."""
     both = asked.withColumn("mark", F.lit(None).cast(marks.schema[value].dataType)).unionByName(marks.select(value, F.col(value).alias("mark")), allowMissingColumns=True)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .order import quantiles
+
 #: A small ensemble with an exact SQL equivalent. A leaf is {"v"}; a split sends value <= t to "l", else to "r", a missing value left if "d" is 1, right if 0.
 FIXED_MODEL: dict = {
     "features": ["dest_senders_7d", "dest_age_days", "dest_inbound_count"],
@@ -80,8 +82,7 @@ CONTROL_QUANTILES = {"event": (0.95, 0.99), "address": (0.90, 0.99), "legacy add
 
 def band_thresholds(rows: DataFrame, kind: str = "event") -> DataFrame:
     """One row (lower, upper): the bands' bounds from the scores of label 0."""
-    q = F.percentile(F.when(F.col("label") == 0, F.col("score")), F.array(*map(F.lit, CONTROL_QUANTILES[kind]))).alias("q")
-    return rows.agg(q).select(F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
+    return quantiles(rows.where("label = 0"), "score", list(CONTROL_QUANTILES[kind]), "q").select(F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
 
 
 def contributions(rows: DataFrame, model: dict, key: str = "event_id") -> DataFrame:

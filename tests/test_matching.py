@@ -21,6 +21,19 @@ def test_numbered(spark):
     assert order.numbered(spark.createDataFrame([], "v int"), ["v"]).count() == 0
 
 
+def test_quantiles_equal_the_aggregate(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.choice([None, 1.5, 1.5, 2.0, rng.random()])) for _ in range(300)] + [("c", None), ("d", 7.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    shares = [0.0, 0.025, 0.5, 0.9, 1.0]
+    want = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()}
+    got = {r["k"]: r["q"] for r in order.quantiles(df, "v", shares, "q", ["k"]).collect()}
+    assert got == {k: pytest.approx(q) for k, q in want.items() if q is not None and q[0] is not None}
+    whole = order.quantiles(df, "v", shares, "q").first()["q"]
+    assert whole == pytest.approx(df.agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).first()["q"])
+    assert order.quantiles(df.limit(0), "v", [0.5], "q").first()["q"] == [None]
+
+
 @pytest.mark.parametrize("marks", [25, 1, 0])
 def test_nearest_equals_plain(spark, marks):
     rng = random.Random(marks)
