@@ -24,7 +24,7 @@ from .store import written
 
 # The covariates of a match, and how many neighbours are asked for.
 COVARIATES = ["sender_age_days", "sender_outbound_count", "sender_median_out_usd"]
-SLAB_ROWS, DEAL_ROWS, BLOCK = 1 << 14, 1 << 13, 256
+SLAB_ROWS, DEAL_ROWS, BLOCK, TASK_ROWS = 1 << 14, 1 << 13, 256, 1 << 18
 FOUND = "turn string, event_id string, control string, distance double, control_turn string"
 
 
@@ -136,11 +136,31 @@ def candidates(rows: DataFrame, ratio: int, slab_rows: int = SLAB_ROWS) -> DataF
     return best(first.unionByName(more)).select("turn", "event_id", "control", "distance", "control_turn", "place")
 
 
-def in_turns(wishes: DataFrame, ratio: int) -> DataFrame:
-    """(event_id, control) of wishes (turn, event_id, control, place): in order of turn (then event_id) each takes its first `ratio` controls that are left."""
+def taken(wishes: pa.Table, ratio: int) -> pa.Table:
+    """The turns themselves, for wishes that fit a task."""
+    wishes = wishes.sort_by([("turn", "ascending"), ("event_id", "ascending"), ("place", "ascending")])
+    used: set[str] = set()
+    counts: dict[str, int] = {}
+    out = []
+    for who, control in zip(wishes["event_id"].to_pylist(), wishes["control"].to_pylist(), strict=True):
+        if counts.get(who, 0) < ratio and control not in used:
+            used.add(control)
+            counts[who] = counts.get(who, 0) + 1
+            out.append((who, control))
+    return pa.table({"event_id": pa.array([w for w, _ in out], pa.string()), "control": pa.array([c for _, c in out], pa.string())})
+
+
+def in_turns(wishes: DataFrame, ratio: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(event_id, control) of wishes (turn, event_id, control, place): in order of turn (then event_id) each takes its first `ratio` controls that are left.
+
+    Rounds go on until nobody is refused, or until the wishes that are left, with the same outcome, fit a task.
+    """
     alive = written(wishes.select(F.struct("turn", "event_id").alias("who"), "control", "place"))
     w = Window.partitionBy("who").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     while True:
+        if alive.count() <= task_rows:
+            left = alive.select("who.turn", "who.event_id", "control", "place")
+            return left.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: taken(t, ratio), "event_id string, control string")
         proposed = alive.withColumn("nth", F.count("*").over(w)).withColumn("asks", F.col("nth") <= ratio)
         keeps = proposed.where("asks").groupBy("control").agg(F.min("who").alias("keeps"))
         # a control that has been asked never goes to a later one: those wishes are gone
@@ -151,7 +171,7 @@ def in_turns(wishes: DataFrame, ratio: int) -> DataFrame:
         alive = settled.select("who", "control", "place")
 
 
-def match_nearest(rows: DataFrame, ratio: int = 10, covariates: list[str] = COVARIATES, stratum: Column | None = None, seed: int = 17, slab_rows: int = SLAB_ROWS) -> DataFrame:
+def match_nearest(rows: DataFrame, ratio: int = 10, covariates: list[str] = COVARIATES, stratum: Column | None = None, seed: int = 17, slab_rows: int = SLAB_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """(event_id, control, distance) of rows (event_id, a unique string; label 1 or 0; the covariates): `ratio` nearest controls of each positive within its stratum.
 
     Positives choose in hash order, without replacement, each among its max(20 ratio, 200) nearest. Missing and
@@ -159,4 +179,4 @@ def match_nearest(rows: DataFrame, ratio: int = 10, covariates: list[str] = COVA
     """
     plain = standardised(rows, covariates, stratum if stratum is not None else F.lit("-"), seed)
     wishes = written(candidates(plain, ratio, slab_rows))
-    return in_turns(wishes, ratio).join(wishes.select("event_id", "control", "distance"), ["event_id", "control"])
+    return in_turns(wishes, ratio, task_rows).join(wishes.select("event_id", "control", "distance"), ["event_id", "control"])

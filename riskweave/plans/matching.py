@@ -6,13 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskweave.operators import legs as L
-from riskweave.operators import nearest, order, probes, resampling, sampling
+from riskweave.operators import nearest, order, probes, resampling, sampling, slices
 from riskweave.sources import driver_tables as D
 from riskweave.sources import pages
 
-from .catalog import query, scored_events
+from .catalog import DEST_SQL, query, scored_events
 
 DAY = D.DAY
+MIDDLE = 820_454_400_000  # the first day of 1996
 SEEN = """, seen AS (SELECT address, min(block_time) AS first_seen, max(block_time) AS last_seen FROM legs GROUP BY 1
 ), mk AS (SELECT address, reported_at AS mark FROM reports WHERE reported_at IS NOT NULL"""
 
@@ -108,3 +109,18 @@ def a20_harvest(spark, sf_dir):
     refused = F.when((F.substring("address", 2, 20).cast("long") % 5 == 0) & (F.col("page") == 2), F.lit('{"status":"0","message":"NOTOK","result":"later"}')).otherwise(F.col("payload"))
     every = ok.unionByName(nothing).select("address", "page", refused.alias("payload")).where("not (address rlike '[05]$' and page > 2)")
     return pages.histories(every, most=4, page_rows=10)
+
+
+@query("b12_slices", f""", d AS ({DEST_SQL}), t AS (SELECT ev.*, dest_senders_all, CAST(CAST(substr(destination, 2) AS BIGINT) % 7 = 0 AS INTEGER) AS label, event_time = min(event_time) OVER (PARTITION BY sender, destination) AS first, event_time < {MIDDLE} AS early FROM ev JOIN d USING (event_id))
+, late AS (SELECT * FROM t WHERE NOT early)
+SELECT event_id, 'hard_negatives' AS slice FROM late WHERE label = 1 OR dest_senders_all >= 5 UNION ALL SELECT event_id, 'first_sends' FROM late WHERE first UNION ALL SELECT event_id, 'new_destinations' FROM late WHERE dest_senders_all <= 1
+UNION ALL SELECT event_id, 'unseen_destinations' FROM late WHERE destination NOT IN (SELECT destination FROM t WHERE early AND CAST(substr(destination, 2) AS BIGINT) % 4 <> 1)""")
+def b12_slices(spark, sf_dir):
+    """Slices of the payments after the middle of the years; a quarter of the suppliers is not trained on."""
+    events = scored_events(spark, sf_dir)
+    n = F.substring("destination", 2, 20).cast("long")
+    first = events.groupBy("sender", "destination").agg(F.min("event_time").alias("since"))
+    rows = events.withColumn("label", (n % 7 == 0).cast("int")).join(first, ["sender", "destination"]).withColumn("is_first_send_to_dest", (F.col("event_time") == F.col("since")).cast("int"))
+    rows = rows.select("event_id", "destination", "event_time", "label", "dest_senders_all", "is_first_send_to_dest")
+    early = F.col("event_time") < MIDDLE
+    return slices.slices(rows.where(~early), rows.where(early & (n % 4 != 1))).select("event_id", "slice")

@@ -87,11 +87,11 @@ def plain_match(rows, ratio):
     return out
 
 
-@pytest.mark.parametrize(("n", "ratio", "slab"), [(900, 2, 60), (500, 5, 1000), (300, 4, 7)], ids=["slabs", "one", "short"])
-def test_match_equals_taking_turns(spark, n, ratio, slab):
+@pytest.mark.parametrize(("n", "ratio", "slab", "task"), [(400, 2, 30, 5000), (300, 5, 1000, 1 << 18), (200, 4, 7, 0)], ids=["slabs", "one", "short"])
+def test_match_equals_taking_turns(spark, n, ratio, slab, task):
     rows = rows_of(n, n)
     df = spark.createDataFrame(rows, "event_id string, label int, sender_age_days double, sender_outbound_count double, sender_median_out_usd double, s string").repartition(4)
-    got = nearest.match_nearest(df, ratio, stratum=F.col("s"), slab_rows=slab).collect()
+    got = nearest.match_nearest(df, ratio, stratum=F.col("s"), slab_rows=slab, task_rows=task).collect()
     pairs = {(r["event_id"], r["control"]) for r in got}
     assert len(pairs) == len(got) and max(Counter(c for _, c in pairs).values()) == 1
     assert pairs == plain_match(rows, ratio)
@@ -99,5 +99,24 @@ def test_match_equals_taking_turns(spark, n, ratio, slab):
 
 def test_turns_with_few_controls(spark):
     wishes = [(f"{i:03}", f"p{i}", f"c{j}", j + 1) for i in range(30) for j in range(10)]  # all want the same, in the same order
-    got = nearest.in_turns(spark.createDataFrame(wishes, "turn string, event_id string, control string, place int").repartition(3), 3)
-    assert {tuple(r) for r in got.collect()} == {(f"p{i // 3}", f"c{i}") for i in range(10)}
+    df = spark.createDataFrame(wishes, "turn string, event_id string, control string, place int").repartition(3)
+    for task_rows in (0, 100, 1000):
+        got = nearest.in_turns(df, 3, task_rows)
+        assert {tuple(r) for r in got.collect()} == {(f"p{i // 3}", f"c{i}") for i in range(10)}
+
+
+def test_ratio_search_keeps_the_most_that_is_balanced(spark):
+    from riskweave.operators import labels, slices
+
+    rng = random.Random(6)
+    rows = [(f"p{i}", 1, rng.uniform(0, 3)) for i in range(40)] + [(f"n{i}", 0, rng.uniform(0, 3)) for i in range(90)] + [(f"f{i}", 0, rng.uniform(50, 90)) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id string, label int, v double").repartition(3)
+    ratio, worst, pairs = slices.balanced_ratio(df, ["v"], ratios=(5, 2, 1))
+    assert ratio in (2, 1) and worst < slices.BALANCED
+    values = {k: v for k, _, v in rows}
+    matched = [values[r["control"]] for r in pairs.collect()]
+    assert len(matched) == 40 * ratio and max(matched) < 50
+    worse = spark.createDataFrame([*rows[:40], *rows[130:]], "event_id string, label int, v double")
+    ratio, worst, _ = slices.balanced_ratio(worse, ["v"], ratios=(2, 1))
+    assert worst > slices.BALANCED  # none is balanced: the best is told with its difference
+    assert labels.mean_differences(df, ["v"]).first()["abs_smd"] > worst / 10
