@@ -89,7 +89,8 @@ def contributions(rows: DataFrame, model: dict, key: str = "event_id") -> DataFr
     """(key, feature, contribution): how far each feature moved the margin from the trees' mean leaf, along the path of each tree.
 
     A split passes on the difference between the means of the node it leads to and its own to its feature
-    (path attribution): the sums over features and the mean of all leaves give the margin.
+    (path attribution): the sums over features and the mean of all leaves give the margin. For ensembles without
+    numbers of rows; shapley.py has exact values for those with them.
     """
 
     def mean(node: dict) -> float:
