@@ -7,6 +7,7 @@ the class table does not mark as a separator. Hashes are 64 bits.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 18
+LONG_RUN = 1 << 10
 _BASE = U64(0x9E3779B97F4A7C55)
 _POWERS = np.cumprod(np.full(1 << 12, _BASE, dtype=U64), dtype=U64)
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)  #: the lowest k bytes of a word of eight
@@ -48,10 +50,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def fold(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of bytes: eight bytes at a time, each block mixed into what came before, so that no two runs share a hash by their structure."""
+    """A 64-bit hash of each run of bytes: eight bytes at a time, each block mixed into what came before, so that no two runs share a hash by their structure. Runs over LONG_RUN bytes one by one."""
     eight = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
     h = mix(lens.astype(U64) + U64(seed) * _BASE + _BASE)
-    at, k = np.flatnonzero(lens > 0), 0
+    for i in np.flatnonzero(lens > LONG_RUN):
+        h[i] = U64(int.from_bytes(hashlib.blake2b(data[starts[i] : starts[i] + lens[i]].tobytes(), digest_size=8, person=str(seed).encode()).digest(), "little"))
+    at, k = np.flatnonzero((lens > 0) & (lens <= LONG_RUN)), 0
     while len(at):
         left = np.minimum(lens[at] - k, 8)
         h[at] = mix(h[at] * _STEP[1] + (eight[starts[at] + k] & _LOW[left]))
@@ -80,19 +84,19 @@ def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def word_chunks(texts: pa.Array, classes: tuple[np.ndarray, np.ndarray] = WHITESPACE_FOLDED, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yield (first doc, end doc, word hashes, offsets into them by doc) for runs of whole documents of about chunk_bytes."""
+def word_chunks(texts: pa.Array, classes: tuple[np.ndarray, np.ndarray] = WHITESPACE_FOLDED, chunk_bytes: int = CHUNK_BYTES, folded: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yield (first doc, end doc, word hashes, offsets into them by doc) for runs of whole documents of about chunk_bytes. folded: hashes by `fold`."""
     data, off = string_buffers(texts)
     n, a = len(off) - 1, 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(off, off[a] + chunk_bytes, side="right")) - 1)
         b = min(b, n)
-        hashes, word_off = hash_words(data[off[a] : off[b]], off[a : b + 1] - off[a], classes)
+        hashes, word_off = hash_words(data[off[a] : off[b]], off[a : b + 1] - off[a], classes, folded)
         yield a, b, hashes, word_off
         a = b
 
 
-def hash_words(data: np.ndarray, off: np.ndarray, classes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, off: np.ndarray, classes: tuple[np.ndarray, np.ndarray], by_fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     folded, sep = classes
     keep = ~sep[data]
     at = np.flatnonzero(keep)
@@ -105,16 +109,17 @@ def hash_words(data: np.ndarray, off: np.ndarray, classes: tuple[np.ndarray, np.
     first[edge[edge < len(at)]] = True
     starts = np.flatnonzero(first)
     lens = np.diff(np.append(starts, len(at)))
+    word_off = np.searchsorted(at[starts], off)
+    if by_fold:
+        return fold(folded[data], at[starts], lens), word_off
     place = np.arange(len(at)) - np.repeat(starts, lens)
     term = (folded[data[at]].astype(U64) + U64(1)) * _powers(int(lens.max()))[place]
-    hashes = mix(np.add.reduceat(term, starts) + lens.astype(U64))
-    word_off = np.searchsorted(at[starts], off)
-    return hashes, word_off
+    return mix(np.add.reduceat(term, starts) + lens.astype(U64)), word_off
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes (uint64): of width words, of all words if fewer, none without words."""
-    for a, b, words, off in word_chunks(texts):
+    for a, b, words, off in word_chunks(texts, folded=True):
         full = np.zeros(len(words), dtype=U64)
         m = len(words) - width + 1
         if m > 0:
