@@ -8,6 +8,8 @@ thing than having a short history.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +66,12 @@ def harvest(pages: DataFrame, most: int, page_rows: int = PAGE_ROWS) -> DataFram
 def left_to_fetch(wanted: DataFrame, held: DataFrame) -> DataFrame:
     """Addresses that no history holds: those without a page, and those refused."""
     return wanted.select("address").distinct().join(held.where("not refused and pages > 0").select("address"), "address", "left_anti")
+
+
+def address_sets(*held: DataFrame) -> DataFrame:
+    """(address, complete) of every address that one of these tables (address, truncated) has fetched: complete if one of them has its whole history.
+
+    Rows whose truncated is null were refused, and fetch nothing. One table's repeated rows count once.
+    """
+    rows = reduce(DataFrame.unionByName, (h.select("address", "truncated") for h in held))
+    return rows.where("address is not null and truncated is not null").groupBy("address").agg(F.max(~F.col("truncated")).alias("complete"))
