@@ -30,7 +30,8 @@ from .exact_dedup import PROBES, _positions, repeat_filter
 from .textblocks import U64, fold, mix, string_buffers
 
 LONGEST, LEAST, MOST = 5, 100, 2000
-BUCKET_POINTERS, MAX_BUCKET_BITS, TASK_POINTERS = 1 << 17, 12, 1 << 21
+#: A projection deals each FLUSH of pointers over 2**MAX_BUCKET_BITS buckets at most, whatever the input, so that its rows grow as the pointers do; finer buckets are dealt from gathered ones.
+BUCKET_POINTERS, MAX_BUCKET_BITS, AGAIN_BITS, TASK_POINTERS = 1 << 20, 8, 12, 1 << 21
 FLUSH = 1 << 19
 SALTS = 64
 #: By which prefix a round deals pointers out.
@@ -176,18 +177,35 @@ def project(docs: DataFrame, seed: int, built: tuple[np.ndarray, int], width: in
 
 
 def dealt_again(buckets: DataFrame, width: int, depth: int, used: int, bits: int, before: int) -> DataFrame:
-    """Pointers of buckets by a longer prefix or further bits of its hash, and as rows of (lang, words, n) the occurrences of the prefixes shorter than that."""
+    """Pointers of buckets by a longer prefix or further bits of its hash, and as rows of (lang, words, n) the occurrences of the prefixes shorter than that.
+
+    The parts of a bucket are gathered first and dealt out FLUSH pointers at a time, not each part alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sizes, parts = None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows, n = unpacked(sizes, parts, width)
+            sizes.clear()
+            parts.clear()
+            out = [] if before in (2, depth) else [(key[0], None, None, None, words, int(m)) for _, words, m in _runs(rows, n, np.flatnonzero(rows[before - 1]), range(before), 1)]
+            deep = rows[depth - 1] != 0
+            out += list(dealt(key[0], rows[:, deep], n[deep], depth, used, bits)) if deep.any() else []
+            yield from (_buckets(out[i : i + 500]) for i in range(0, len(out), 500))
+
         for batch in batches:
-            for lang, size, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows, n = unpacked([size], [packed], width)
-                out = [] if before in (2, depth) else [(lang, None, None, None, words, int(m)) for _, words, m in _runs(rows, n, np.flatnonzero(rows[before - 1]), range(before), 1)]
-                deep = rows[depth - 1] != 0
-                out += list(dealt(lang, rows[:, deep], n[deep], depth, used, bits)) if deep.any() else []
-                yield from (_buckets(out[i : i + 500]) for i in range(0, len(out), 500))
+            for lang, bucket, size, packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if sizes and (key != (lang, bucket) or sum(sizes) >= FLUSH):
+                    yield from flush()
+                key = (lang, bucket)
+                sizes.append(size)
+                parts.append(packed)
+        if sizes:
+            yield from flush()
 
-    return buckets.select("lang", "pointers", "packed").mapInArrow(tidy(run), BUCKET)
+    gathered = buckets.select("lang", "bucket", "pointers", "packed").repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return gathered.mapInArrow(tidy(run), BUCKET)
 
 
 def _runs(rows: np.ndarray, n: np.ndarray, at: np.ndarray, depths: range, least: int) -> Iterator[tuple[np.ndarray, list[int], int]]:
@@ -244,7 +262,7 @@ def frequent_pairs(docs: DataFrame, words: DataFrame, seed: int, least: int, bit
     first = min(bits, MAX_BUCKET_BITS)
     pairs = project(docs, seed, repeat_filter(often, "id", often.count(), least=1), 2, first)
     if bits > first:
-        pairs = dealt_again(materialize(pairs), 2, 2, first, bits - first, 2)
+        pairs = dealt_again(pairs, 2, 2, 0, bits, 2)  # by all bits: by the further ones alone the buckets would meet again
     return materialize(mined(pairs, 2, 2, least))
 
 
@@ -266,7 +284,7 @@ def longer_phrases(docs: DataFrame, pairs: DataFrame, seed: int, least: int, bit
             break
         parts.append(mined(held.join(full, ["lang", "bucket"], "left_anti"), LONGEST, depth, least))
         # buckets of different old ones may meet, prefixes never part
-        left = materialize(dealt_again(held.join(full, ["lang", "bucket"], "left_semi"), LONGEST, ROUNDS[i + 1], bits if ROUNDS[i + 1] == depth else 0, MAX_BUCKET_BITS, depth))
+        left = materialize(dealt_again(held.join(full, ["lang", "bucket"], "left_semi"), LONGEST, ROUNDS[i + 1], bits if ROUNDS[i + 1] == depth else 0, AGAIN_BITS, depth))
         parts.append(left.where("bucket is null").groupBy("lang", "words").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
     out = parts[0]
     for p in parts[1:]:

@@ -211,6 +211,17 @@ def test_two_deals_of_pairs(spark, monkeypatch):
     assert {tuple(r) for r in got} == plain_phrases(rows, 6)
 
 
+def test_second_deal_of_pairs_parts_their_buckets(spark, monkeypatch):
+    """By the one further bit alone there would be two buckets a language, whatever the size."""
+    monkeypatch.setattr(phrases, "MAX_BUCKET_BITS", 3)
+    seen = []
+    monkeypatch.setattr(phrases, "mined", lambda b, *a, f=phrases.mined: seen.append(b.select("bucket").distinct().count()) or f(b, *a))
+    docs = spark.createDataFrame([("en", f"a{i} b{i} c{i}") for i in range(40)] * 2, "lang string, text string").repartition(2)
+    words, seed = phrases.frequent_words(docs, 2)
+    pairs = phrases.frequent_pairs(docs, words, seed, 2, 4)
+    assert pairs.count() == 80 and seen[0] > 8
+
+
 def test_words_that_share_an_id_take_another_seed(spark, monkeypatch):
     real = phrases.fold
     monkeypatch.setattr(phrases, "fold", lambda data, starts, lens, seed=0: lens.astype(np.uint64) if seed == 0 else real(data, starts, lens, seed))
