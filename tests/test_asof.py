@@ -59,3 +59,19 @@ def test_a_block_deals_out_its_legs_once(spark):
     for block in (asof.destination_block(ev, sides), asof.sender_block(ev, sides)):
         plan = block._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("LogicalRDD") <= 12
+
+
+def test_legs_nobody_asks_for_are_not_dealt_out(spark):
+    """Before, all legs were ordered by pair in windows and dealt out again, also those of keys without a probe; the events were joined to their facts."""
+    tx, events = drawn(5)
+    ev = spark.createDataFrame([e for e in events if e[2] in ("a", None)], "event_id string, sender string, destination string, cents long, event_time long")
+    sides = legs(spark.createDataFrame(tx, TX).repartition(3))
+    block = asof.destination_block(ev, sides, ("sender", "cents"))
+    plan = block._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1 and "Join LeftSemi" in plan
+    want = {e: d for e, d, _ in plain(tx, events)}
+    ends = {e[0]: (e[1], e[3]) for e in events}
+    rows = block.collect()
+    assert len(rows) == sum(e[2] in ("a", None) for e in events)
+    for r in rows:
+        assert (r["sender"], r["cents"]) == ends[r["event_id"]] and {k: r[k] for k in want[r["event_id"]]} == want[r["event_id"]]
