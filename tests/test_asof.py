@@ -75,3 +75,28 @@ def test_legs_nobody_asks_for_are_not_dealt_out(spark):
     assert len(rows) == sum(e[2] in ("a", None) for e in events)
     for r in rows:
         assert (r["sender"], r["cents"]) == ends[r["event_id"]] and {k: r[k] for k in want[r["event_id"]]} == want[r["event_id"]]
+
+
+@pytest.mark.parametrize("tuning", [{}, {"hub": 20, "bucket_rows": 50}, {"hub": 3}], ids=["whole", "cut", "all cut"])
+def test_pairs_and_payees_equal_plain_loops_and_deal_out_once(spark, tuning):
+    """Before, each sum of a pair and each best payee was a delta of its own, ordered in windows over all legs."""
+    tx, events = drawn(6)
+    ev = spark.createDataFrame(events, "event_id string, sender string, destination string, cents long, event_time long")
+    sides = legs(spark.createDataFrame(tx, TX).repartition(3))
+    pairs = asof.pair_block(ev, sides, **tuning)
+    payees = asof.top_payees(asof.side(sides, "out"), asof.probes_of(ev, "destination"), **tuning)
+    if not tuning:
+        assert all("Window" not in d._jdf.queryExecution().optimizedPlan().toString() for d in (pairs, payees))
+    got, best = {r["event_id"]: r for r in pairs.collect()}, {r["probe"]: r["top_payee"] for r in payees.collect()}
+    assert len(got) == len(best) == len(events)
+    for e, sender, dest, _, t in events:
+        sent = sorted((at, h, c) for h, f, to, _, c, at in tx if (f, to) == (sender, dest) and at < t)
+        r, cents = got[e], [c for _, _, c in sent]
+        assert (r["sender_prior_sends_to_dest"], r["pair_prior_cents"], r["pair_max_prior_cents"], r["pair_min_prior_cents"]) == (len(sent), sum(cents), max(cents, default=None), min(cents, default=None))
+        assert (r["pair_first"], r["pair_last"], r["pair_first_cents"]) == ((sent[0][0], sent[-1][0], sent[0][2]) if sent else (None, None, None))
+        assert r["pair_outflow_cents_7d"] == sum(c for at, _, c in sent if at >= t - 7 * DAY)
+        paid = {}
+        for _, f, to, _, c, at in tx:
+            if f == dest and at < t:
+                paid[to] = paid.get(to, 0) + c
+        assert best[e] == min(paid, key=lambda p: (-paid[p], p), default=None), e
