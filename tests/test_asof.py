@@ -100,3 +100,19 @@ def test_pairs_and_payees_equal_plain_loops_and_deal_out_once(spark, tuning):
             if f == dest and at < t:
                 paid[to] = paid.get(to, 0) + c
         assert best[e] == min(paid, key=lambda p: (-paid[p], p), default=None), e
+
+
+def test_shared_peers_equal_plain_and_what_cannot_be_shared_is_left_out(spark, monkeypatch):
+    """Before, all peers of one end of every pair were looked up at the other."""
+    tx, events = drawn(7, 60)
+    ways = [(h, f"c{f}", f"s{to}", u, c, at) for h, f, to, u, c, at in tx]
+    for rows, asked in ((tx, events), (ways, [(e, s and f"c{s}", d and f"s{d}", c, t) for e, s, d, c, t in events])):
+        ev = spark.createDataFrame(asked, "event_id string, sender string, destination string, cents long, event_time long")
+        looked = []
+        monkeypatch.setattr(asof, "looked_up", lambda *a, f=asof.looked_up: looked.append(a) or f(*a))
+        got = {r["event_id"]: r["shared_counterparties"] for r in asof.shared_block(ev, legs(spark.createDataFrame(rows, TX))).collect()}
+        monkeypatch.undo()
+        assert len(got) == len(asked) and bool(looked) == (rows is tx)
+        for e, s, d, _, t in asked:
+            peers = [{p for _, f, to, _, _, at in rows if at < t for x, p in ((f, to), (to, f)) if x == end} for end in (s, d)]
+            assert got[e] == len(peers[0] & peers[1]), e
