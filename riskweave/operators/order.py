@@ -69,9 +69,10 @@ def neighbours(asked: DataFrame, marks: DataFrame, value: str = "value") -> Data
     both = asked.withColumn("mark", F.lit(None).cast(marks.schema[value].dataType)).unionByName(marks.select(value, F.col(value).alias("mark")), allowMissingColumns=True)
     placed = pieces(both.where(F.col(value).isNotNull()).withColumn("turn", F.col("mark").isNull().cast("int")), [value, "turn"])  # a mark comes before those that ask for its value
     ends = placed.groupBy("piece").agg(F.max("mark").alias("last"), F.min("mark").alias("first"))
-    carried = ends.select("piece", F.max("last").over(_all().rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("first").over(_all().rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    w = Window.partitionBy("piece").orderBy("at")
-    found = placed.withColumns({"b": F.max("mark").over(w.rowsBetween(Window.unboundedPreceding, 0)), "a": F.min("mark").over(w.rowsBetween(0, Window.unboundedFollowing))})
+    carried = ends.select("piece", F.max("last").over(_all().rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("first").over(Window.orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)).alias("after"))
+    # what comes after is looked at backwards: a frame to the end of a piece would be summed up anew for each row, the square of a piece
+    upto = lambda at: Window.partitionBy("piece").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.withColumn("b", F.max("mark").over(upto("at"))).withColumn("a", F.min("mark").over(upto(F.desc("at"))))
     out = found.where("mark is null").join(carried, "piece", "left").withColumns({"below": F.coalesce("b", "before"), "above": F.coalesce("a", "after")})
     names = [*asked.columns, "below", "above"]
     nothing = F.lit(None).cast(marks.schema[value].dataType)
@@ -81,11 +82,11 @@ def neighbours(asked: DataFrame, marks: DataFrame, value: str = "value") -> Data
 def nearest(asked: DataFrame, marks: DataFrame, want: str, least: str, name: str = "mark") -> DataFrame:
     """asked with the mark nearest to `want` of those above `least` (null if none); of two equally near the smaller one. marks: (value)."""
     key = [F.col(c) for c in asked.columns]
-    values = F.explode(F.array(F.struct(F.lit("want").alias("kind"), F.col(want).alias("value")), F.struct(F.lit("least").alias("kind"), F.col(least).alias("value"))))
+    values = F.explode(F.array(F.struct(F.lit("want").alias("kind"), F.col(f"row.{want}").alias("value")), F.struct(F.lit("least").alias("kind"), F.col(f"row.{least}").alias("value"))))
     rows = asked.select(F.struct(*key).alias("row"), F.monotonically_increasing_id().alias("id"))
     rows = written(rows)  # the ids stay
-    both = rows.select("row", "id", *(F.col(f"row.{c}").alias(c) for c in {want, least})).select("row", "id", values.alias("v")).select("row", "id", "v.*")
-    got = neighbours(both, marks)
+    both = rows.select("id", values.alias("v")).select("id", "v.*")  # only values are ordered, not the rows that ask
+    got = neighbours(both, marks.distinct())
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     sides = got.groupBy("id").agg(of("want", "below").alias("below"), of("want", "above").alias("above"), of("least", "above").alias("next"))
     out = rows.join(sides, "id").select("row.*", "below", "above", "next")

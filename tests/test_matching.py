@@ -120,3 +120,11 @@ def test_ratio_search_keeps_the_most_that_is_balanced(spark):
     ratio, worst, _ = slices.balanced_ratio(worse, ["v"], ratios=(2, 1))
     assert worst > slices.BALANCED  # none is balanced: the best is told with its difference
     assert labels.mean_differences(df, ["v"]).first()["abs_smd"] > worst / 10
+
+
+def test_what_comes_after_is_looked_at_backwards(spark):
+    """A frame up to the end of a piece is summed up anew for each of its rows."""
+    asked, marks = spark.createDataFrame([(1,), (5,)], "value long"), spark.createDataFrame([(3,)], "value long")
+    got = order.neighbours(asked, marks)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted((r["value"], r["below"], r["above"]) for r in got.collect()) == [(1, None, 3), (5, 3, None)]
