@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from .prices import price_as_of
+from .store import sent
 
 # Symbols that count as dollars on either chain.
 STABLE = ["USDT", "USDC", "TUSD", "USDD", "DAI", "FDUSD", "PYUSD"]
@@ -43,6 +44,11 @@ _BLOCKSCOUT = "transaction_hash string, timestamp string, `from` struct<hash:str
 _ETHERSCAN = "hash string, timeStamp string, `from` string, `to` string, value string, contractAddress string, isError string, txreceipt_status string"
 
 
+def _parsed(raw: DataFrame, column: str, schema: str) -> DataFrame:
+    """The fields of JSON rows, as a generator's output: of a plain projection Spark would parse the row anew for each field and each condition on one."""
+    return raw.select(F.inline(F.array(F.from_json(column, schema))))
+
+
 def _whole(value: Column, decimals: Column) -> Column:
     """An integer in a string, by its decimals; null if it is none."""
     return value.try_cast("decimal(38,0)").cast("double") / F.pow(F.lit(10.0), decimals)
@@ -56,7 +62,7 @@ def _decimals(default: int, *said: Column) -> Column:
 
 def tron_transfers(raw: DataFrame, column: str = "raw", valid: Callable[[Column], Column] = is_tron_address) -> DataFrame:
     """Transfers of stable coins between valid addresses, from JSON rows; decimals are 6 unless said, and a row whose decimals are no number is left out."""
-    r = raw.select(F.from_json(column, _TRON).alias("r")).select("r.*")
+    r = _parsed(raw, column, _TRON)
     symbol = F.upper("token_info.symbol")
     usd = _whole(F.col("value"), _decimals(6, F.col("token_info.decimals")))
     rows = r.where((F.col("type") == "Transfer") & symbol.isin(STABLE)).where(valid(F.col("from")) & valid(F.col("to")))
@@ -65,7 +71,7 @@ def tron_transfers(raw: DataFrame, column: str = "raw", valid: Callable[[Column]
 
 def blockscout_transfers(raw: DataFrame, column: str = "raw", stable: list[str] = STABLE) -> DataFrame:
     """Transfers by symbol; decimals are those of the amount, else of the token, else 18, times ISO, addresses in lower case."""
-    r = raw.select(F.from_json(column, _BLOCKSCOUT).alias("r")).select("r.*")
+    r = _parsed(raw, column, _BLOCKSCOUT)
     usd = _whole(F.col("total.value"), _decimals(18, F.nullif(F.col("total.decimals"), F.lit("")), F.nullif(F.col("token.decimals"), F.lit(""))))
     at = F.unix_millis(F.try_to_timestamp("timestamp"))
     rows = r.where(F.upper("token.symbol").isin(stable))
@@ -74,15 +80,15 @@ def blockscout_transfers(raw: DataFrame, column: str = "raw", stable: list[str]
 
 def etherscan_tokens(raw: DataFrame, contracts: DataFrame, column: str = "raw") -> DataFrame:
     """Transfers of known contracts (contract, asset, decimals): the contract, not a symbol, says which token it is."""
-    r = raw.select(F.from_json(column, _ETHERSCAN).alias("r")).select("r.*").withColumn("contract", F.lower("contractAddress"))
-    rows = r.join(contracts, "contract").withColumn("amount_usd", _whole(F.col("value"), F.col("decimals")))
+    r = _parsed(raw, column, _ETHERSCAN).withColumn("contract", F.lower("contractAddress"))
+    rows = r.join(sent(contracts), "contract").withColumn("amount_usd", _whole(F.col("value"), F.col("decimals")))
     at = (F.col("timeStamp").try_cast("long") * 1000).alias("block_time")
     return rows.select(F.lit("ethereum").alias("chain"), F.col("hash").alias("tx_hash"), F.lower("from").alias("from_address"), F.lower("to").alias("to_address"), "amount_usd", "asset", at).where("amount_usd is not null and block_time is not null")
 
 
 def etherscan_native(raw: DataFrame, candles: DataFrame, column: str = "raw") -> DataFrame:
     """Successful native transfers at the last closed candle's price; without a price they are left out."""
-    r = raw.select(F.from_json(column, _ETHERSCAN).alias("r")).select("r.*")
+    r = _parsed(raw, column, _ETHERSCAN)
     ok = (F.coalesce("isError", F.lit("0")) == "0") & F.coalesce("txreceipt_status", F.lit("1")).isin("1", "")
     rows = r.where(ok).select(F.col("hash").alias("tx_hash"), F.lower("from").alias("from_address"), F.lower("to").alias("to_address"), _whole(F.col("value"), F.lit(18)).alias("eth"), (F.col("timeStamp").try_cast("long") * 1000).alias("block_time"))
     priced = price_as_of(rows.where("eth > 0 and to_address <> ''"), candles).where("price is not null")
