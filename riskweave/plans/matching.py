@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import legs as L
 from riskweave.operators import nearest, order, probes, resampling, sampling, slices
+from riskweave.operators.store import written
 from riskweave.sources import driver_tables as D
 from riskweave.sources import pages
 
@@ -42,7 +43,7 @@ PROBES_SQL = f"""{SEEN}
 @query("i16_probes", PROBES_SQL)
 def i16_probes(spark, sf_dir):
     legs = L.legs(L.clean(D.derive_transfers(spark, sf_dir)))
-    seen = L.spans(legs).select("address", "first_seen", "last_seen")
+    seen = written(L.spans(legs).select("address", "first_seen", "last_seen"))  # read for marks, controls and coverage
     marks = D.scam_reports(spark, sf_dir).where("reported_at is not null").select("address", F.col("reported_at").alias("mark"))
     positives = marks.join(seen, "address").select("address", "first_seen", "mark")
     covered = seen.select("address", (F.substring("address", 2, 20).cast("long") % 3 == 0).alias("truncated"), "last_seen")
