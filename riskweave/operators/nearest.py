@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labels import hash_order
-from .store import written
+from .store import sent, written
 
 # The covariates of a match, and how many neighbours are asked for.
 COVARIATES = ["sender_age_days", "sender_outbound_count", "sender_median_out_usd"]
 SLAB_ROWS, DEAL_ROWS, BLOCK, TASK_ROWS = 1 << 14, 1 << 13, 256, 1 << 18
-FOUND = "turn string, event_id string, control string, distance double, control_turn string"
+ROUNDED, FIRST_WISHES = 2e-12, 4  #: what rounding a distance can add, and more; wishes dealt out first, times those to be met
+FOUND = "turn string, event_id string, control string, distance double, control_turn string, k long"
 
 
 def asked_for(ratio: int, n: int) -> int:
@@ -36,7 +37,7 @@ def standardised(rows: DataFrame, covariates: list[str], stratum: Column, seed:
     """(event_id, label, stratum, turn, x): log1p of the covariates by mean and deviation of the stratum's controls, at nine digits so that no order of summing shows."""
     v = lambda c: F.log1p(F.greatest(F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(0.0)), F.lit(0.0)))
     plain = rows.select("event_id", "label", stratum.cast("string").alias("stratum"), *(F.round(v(c), 12).alias(f"v{i}") for i, c in enumerate(covariates)))
-    plain = plain.withColumn("stratum", F.coalesce("stratum", F.lit("-")))
+    plain = written(plain.withColumn("stratum", F.coalesce("stratum", F.lit("-"))))  # read for means, deviations and points
     n = range(len(covariates))
     # exact sums, so that means do not depend on the order of rows
     wide = lambda x: x.cast("decimal(30,12)")
@@ -55,23 +56,24 @@ def _points(table: pa.Table) -> np.ndarray:
 
 def search(positives: pa.Table, controls: pa.Table) -> pa.Table:
     """Of each positive of a slab (with its k, and the distance beyond which it needs none) its nearest controls of the slab."""
-    names = [c.split()[0] for c in FOUND.split(", ")]
-    out: list[list] = [[] for _ in names]
-    if positives.num_rows and controls.num_rows:
-        controls = controls.sort_by("turn")
-        c, p = _points(controls), _points(positives)
-        turns, ids = controls["turn"].to_pylist(), controls["event_id"].to_pylist()
-        k, within = positives["k"].to_numpy(), positives["within"].to_numpy()
-        own, keys = positives["event_id"].to_pylist(), positives["turn"].to_pylist()
-        for a in range(0, len(p), BLOCK):
-            d = np.round(np.sqrt(((p[a : a + BLOCK, None, :] - c[None, :, :]) ** 2).sum(axis=2)), 12)
-            for i, row in enumerate(d, a):
-                near = np.flatnonzero(row <= within[i])
-                near = near[np.argsort(row[near], kind="stable")][: k[i]]  # ties by turn
-                for values, x in zip(out, ([keys[i]] * len(near), [own[i]] * len(near), [ids[j] for j in near], row[near].tolist(), [turns[j] for j in near]), strict=True):
-                    values += x
-    types = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]
-    return pa.table([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
+    controls = controls.sort_by("turn")
+    c, p = _points(controls), _points(positives)
+    k, within = positives["k"].to_numpy(), positives["within"].to_numpy()
+    mine, theirs, distances = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for a in range(0, len(p) if len(c) else 0, BLOCK):
+        squares = sum((p[a : a + BLOCK, i, None] - c[None, :, i]) ** 2 for i in range(p.shape[1]))
+        for i, row in enumerate(squares, a):
+            most = np.sqrt(np.partition(row, k[i] - 1)[k[i] - 1]) if k[i] < len(row) else np.inf
+            near = np.flatnonzero(row <= (min(most, within[i]) + ROUNDED) ** 2)  # all that can be among them, equally near ones too
+            d = np.round(np.sqrt(row[near]), 12)
+            order = np.argsort(d, kind="stable")[: k[i]]  # ties by turn
+            order = order[d[order] <= within[i]]
+            mine.append(np.full(len(order), i))
+            theirs.append(near[order])
+            distances.append(d[order])
+    own, other = pa.array(np.concatenate(mine)), pa.array(np.concatenate(theirs))
+    found = [positives["turn"].take(own), positives["event_id"].take(own), controls["event_id"].take(other), pa.array(np.concatenate(distances)), controls["turn"].take(other), positives["k"].take(own)]
+    return pa.table(found, names=[x.split()[0] for x in FOUND.split(", ")])
 
 
 def candidates(rows: DataFrame, ratio: int, slab_rows: int = SLAB_ROWS) -> DataFrame:
@@ -128,9 +130,8 @@ def candidates(rows: DataFrame, ratio: int, slab_rows: int = SLAB_ROWS) -> DataF
     asked = "stratum string, part int, turn string, event_id string, x array<double>, k long, within double"
     positives = rows.where("label = 1").select("stratum", "turn", "event_id", "x")
     first = found(positives.mapInArrow(slabs_of(False), asked))
-    counts = controls.groupBy("stratum").agg(F.count("*").alias("n")).withColumn("k", F.least("n", F.lit(max(20 * ratio, 200))))
     order = Window.partitionBy("turn", "event_id").orderBy("distance", "control_turn", "control")
-    best = lambda df: df.join(positives.select("event_id", "stratum"), "event_id").join(counts, "stratum").withColumn("place", F.row_number().over(order)).where("place <= k")
+    best = lambda df: df.withColumn("place", F.row_number().over(order)).where("place <= k")
     bound = best(first).where("place = k").select("event_id", F.col("distance").alias("within"))
     more = found(positives.join(bound, "event_id").mapInArrow(slabs_of(True), asked))
     return best(first.unionByName(more)).select("turn", "event_id", "control", "distance", "control_turn", "place")
@@ -153,6 +154,26 @@ def taken(wishes: pa.Table, ratio: int) -> pa.Table:
 def in_turns(wishes: DataFrame, ratio: int, task_rows: int = TASK_ROWS) -> DataFrame:
     """(event_id, control) of wishes (turn, event_id, control, place): in order of turn (then event_id) each takes its first `ratio` controls that are left.
 
+    Most get what they want among their first wishes, so that these are dealt out first. Whoever is left short and
+    has further ones wishes for more, and all is dealt out again: when nobody is short, further wishes change nothing.
+    """
+    who = ["turn", "event_id"]
+    wishes = written(wishes)
+    reach = written(wishes.groupBy(*who).agg(F.max("place").alias("last")).withColumn("most", F.lit(FIRST_WISHES * ratio)))
+    while True:
+        front = wishes.join(sent(reach), who).where("place <= most").select(*who, "control", "place")
+        got = written(in_rounds(front, ratio, task_rows))
+        had = got.groupBy("event_id").agg(F.count("*").alias("had"))
+        short = (F.coalesce("had", F.lit(0)) < ratio) & (F.col("most") < F.col("last"))
+        reach = written(reach.join(had, "event_id", "left").select(*who, "last", "most", short.alias("short")))
+        if reach.where("short").isEmpty():
+            return got
+        reach = reach.select(*who, "last", F.when(F.col("short"), F.col("most") * 4).otherwise(F.col("most")).alias("most"))
+
+
+def in_rounds(wishes: DataFrame, ratio: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The turns of these wishes.
+
     Rounds go on until nobody is refused, or until the wishes that are left, with the same outcome, fit a task.
     """
     alive = written(wishes.select(F.struct("turn", "event_id").alias("who"), "control", "place"))
@@ -161,10 +182,10 @@ def in_turns(wishes: DataFrame, ratio: int, task_rows: int = TASK_ROWS) -> DataF
         if alive.count() <= task_rows:
             left = alive.select("who.turn", "who.event_id", "control", "place")
             return left.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: taken(t, ratio), "event_id string, control string")
-        proposed = alive.withColumn("nth", F.count("*").over(w)).withColumn("asks", F.col("nth") <= ratio)
+        proposed = written(alive.withColumn("asks", F.count("*").over(w) <= ratio))
         keeps = proposed.where("asks").groupBy("control").agg(F.min("who").alias("keeps"))
         # a control that has been asked never goes to a later one: those wishes are gone
-        settled = written(proposed.join(keeps, "control", "left").where(F.col("keeps").isNull() | (F.col("who") <= F.col("keeps"))))
+        settled = written(proposed.join(sent(keeps), "control", "left").where(F.col("keeps").isNull() | (F.col("who") <= F.col("keeps"))))
         refused = proposed.where("asks").count() - settled.where(F.col("asks") & (F.col("who") == F.col("keeps"))).count()
         if not refused:
             return settled.where("asks").select("who.event_id", "control")
@@ -178,5 +199,5 @@ def match_nearest(rows: DataFrame, ratio: int = 10, covariates: list[str] = COVA
     negative covariates count as 0. A positive whose candidates are all taken stays with fewer.
     """
     plain = standardised(rows, covariates, stratum if stratum is not None else F.lit("-"), seed)
-    wishes = written(candidates(plain, ratio, slab_rows))
+    wishes = written(candidates(plain, ratio, slab_rows).select("turn", "event_id", "control", "distance", "place"))
     return in_turns(wishes, ratio, task_rows).join(wishes.select("event_id", "control", "distance"), ["event_id", "control"])

@@ -128,3 +128,29 @@ def test_what_comes_after_is_looked_at_backwards(spark):
     got = order.neighbours(asked, marks)
     assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
     assert sorted((r["value"], r["below"], r["above"]) for r in got.collect()) == [(1, None, 3), (5, 3, None)]
+
+
+def test_few_wishes_are_dealt_out_first(spark, monkeypatch):
+    """All want the same controls, so that most have to wish again and again; no deal holds all wishes from the start."""
+    wishes = [(f"{i:03}", f"e{i}", f"c{j:03}", j + 1) for i in range(25) for j in range(90)]
+    sizes, dealt = [], nearest.in_rounds
+    monkeypatch.setattr(nearest, "in_rounds", lambda front, *rest: (sizes.append(front.count()), dealt(front, *rest))[1])
+    got = sorted(map(tuple, nearest.in_turns(spark.createDataFrame(wishes, "turn string, event_id string, control string, place int"), 3).collect()))
+    assert got == sorted((f"e{i}", f"c{j:03}") for i in range(25) for j in range(3 * i, 3 * i + 3))
+    assert sizes[0] == 25 * 12 and len(sizes) > 1 and sizes[-1] <= len(wishes)
+
+
+def test_search_keeps_equally_near_ones_by_turn():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    points = [[rng.choice([0.0, 1.0, 2.0]), rng.choice([0.0, 0.1, 1 / 3]), rng.choice([0.0, 1.0])] for _ in range(300)]
+    controls = pa.table({"event_id": [f"c{i}" for i in range(300)], "turn": [f"{i * 7 % 300:03}" for i in range(300)], "x": points})
+    asked = [([1.0, 0.1, 0.0], 20, math.inf), ([0.5, 0.0, 1.0], 400, math.inf), ([2.0, 0.0, 0.0], 50, 0.6)]
+    positives = pa.table({"event_id": list("abc"), "turn": list("xyz"), "x": [a[0] for a in asked], "k": [a[1] for a in asked], "within": [a[2] for a in asked]})
+    got = nearest.search(positives, controls).to_pylist()
+    for who, (x, k, within) in zip("abc", asked, strict=True):
+        far = sorted((float(np.round(math.dist(x, p), 12)), f"{i * 7 % 300:03}", f"c{i}") for i, p in enumerate(points))
+        mine = [(r["distance"], r["control_turn"], r["control"]) for r in got if r["event_id"] == who]
+        assert mine == [t for t in far if t[0] <= within][:k]
