@@ -11,9 +11,10 @@ document's log probability is a sum of values of its n-grams, which is what is l
     of each word            log P1(w) - log P1(unknown) + log gamma(w)
     of each modelled bigram log P(w|v) - log gamma(v) - log P1(w)
 
-and log P1(unknown) for each position. Bigrams seen once are counted (their mass is gamma's) but not
-modelled (`least_count`). Training bigrams are counted in shards by their hash; what follows are joins
-and aggregations of the n-gram table. The values of the most frequent `hot` n-grams are broadcast, the
+and log P1(unknown) for each position. All bigrams are modelled, those seen once too. Training bigrams are
+counted in shards by their hash, which also tell what discounts their words need. Values of bigrams are
+derived from those counts where they are read, so that no further copy of them is written: facts of
+words are sent everywhere while few, joined beyond. The values of the most frequent `hot` n-grams are broadcast, the
 others joined: a document sends only n-grams that a Bloom filter of bounded size lets pass. Values are
 fixed-point numbers, so sums do not depend on their order.
 """
@@ -34,6 +35,7 @@ from .textblocks import U64, WHITESPACE_RAW, mix, word_chunks
 START, END, FIRST_WORD = 1, 2, 3  #: codes below FIRST_WORD are no words; 0 as first word marks a single word's key
 HOT, MAX_BITS, PROBES = 1 << 21, 27, 2  #: broadcast: HOT keys and values (25 MB) and 2**MAX_BITS bits (16 MB) at most
 BROADCAST_IDS = 1 << 21  #: up to so many training ids are broadcast to find their texts
+SENT_WORDS = 1 << 21  #: words whose facts are sent everywhere (28 bytes each)
 SHARD_BYTES, FLUSH = 16 << 20, 1 << 20
 LOW_COUNTS = 4
 UNIT = float(1 << 20)
@@ -68,12 +70,12 @@ def training_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(near.join(hashed.select("doc_id"), "doc_id", "left_semi").select("text"))
 
 
-ROWS = "kind int, key long, a long, b long"
-PAIR, WORD, TOTAL = 0, 1, 2  #: rows of the n-gram table: (pair, count, -), (word, distinct words before it, occurrences as context), (count of 1 to 4, number of such pairs, -)
+ROWS = "kind int, key long, a long, b long, kept long, n1 long, n2 long, n3 long"
+PAIR, WORD, TOTAL = 0, 1, 2  #: rows of the n-gram table: (pair, count, -), (word, distinct words before it, occurrences as context, of its modelled pairs the occurrences and how many were counted once, twice, more often), (count of 1 to 4, number of such pairs, -)
 
 
-def ngram_table(texts: DataFrame, shards: int, least_count: int) -> DataFrame:
-    """ROWS of the training text; those of words and totals are partial, one a shard."""
+def ngram_table(texts: DataFrame, shards: int, least_count: int = 1) -> DataFrame:
+    """ROWS of the training text; those of words and totals are partial, one a shard. Pairs below `least_count` are counted, not modelled."""
     packed_kind = "shard long, hi binary, lo binary, n binary"
     schema = pa.schema([("shard", pa.int64()), ("hi", pa.binary()), ("lo", pa.binary()), ("n", pa.binary())])
 
@@ -103,7 +105,7 @@ def ngram_table(texts: DataFrame, shards: int, least_count: int) -> DataFrame:
         if size:
             yield packed(parts)
 
-    out_schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    out_schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("key", "a", "b", "kept", "n1", "n2", "n3"))])
 
     def merged(rows: pa.Table) -> pa.Table:
         parts = [np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows[c]]) for c in ("hi", "lo", "n")]
@@ -118,11 +120,13 @@ def ngram_table(texts: DataFrame, shards: int, least_count: int) -> DataFrame:
         total = np.bincount(where[: len(n)], n, len(words)).astype(np.int64)
         before = np.bincount(where[len(n) :], minlength=len(words))
         low = np.arange(1, LOW_COUNTS + 1)
+        of_words = lambda some, weights=None: np.bincount(where[: len(n)][some], None if weights is None else weights[some], len(words)).astype(np.int64)
+        modelled = [of_words(kept, n), *(of_words(kept & x) for x in (n == 1, n == 2, n >= 3))]
         cols = [
             np.repeat([PAIR, WORD, TOTAL], [kept.sum(), len(words), LOW_COUNTS]).astype(np.int32),
             np.concatenate([pairs[kept].view(np.int64), words, low]),
             np.concatenate([n[kept], before, [(n == k).sum() for k in low]]),
-            np.concatenate([np.zeros(kept.sum(), np.int64), total, np.zeros(LOW_COUNTS, np.int64)]),
+            *(np.concatenate([np.zeros(kept.sum(), np.int64), x, np.zeros(LOW_COUNTS, np.int64)]) for x in (total, *modelled)),
         ]
         out = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_schema, strict=True)], schema=out_schema)
         release()
@@ -147,29 +151,51 @@ def values(table: DataFrame) -> tuple[DataFrame, float]:
     """((key, freq, value) of each n-gram of the model, log probability of an unknown word)."""
     low = {r["key"]: r["n"] for r in table.where(F.col("kind") == TOTAL).groupBy("key").agg(F.sum("a").alias("n")).collect()}
     d2 = discounts([low.get(k, 0) for k in range(1, LOW_COUNTS + 1)])
-    pairs = table.where(F.col("kind") == PAIR).select("key", F.shiftrightunsigned("key", 32).alias("v"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("w"), F.col("a").alias("c"))
-    own = F.col("c") - _discount(F.col("c"), d2)
-    words = table.where(F.col("kind") == WORD).groupBy(F.col("key").alias("v")).agg(F.sum("a").alias("before"), F.sum("b").alias("total"))
-    words = materialize(words.join(pairs.groupBy("v").agg(F.sum(own).alias("own")), "v", "left"))
+    pairs = table.where(F.col("kind") == PAIR).select("key", F.col("a").alias("c"))
+    sums = {"before": "a", "total": "b", **{c: c for c in ("kept", "n1", "n2", "n3")}}
+    words = materialize(table.where(F.col("kind") == WORD).groupBy(F.col("key").alias("v")).agg(*(F.sum(c).alias(n) for n, c in sums.items())))
+    own = F.col("kept") - d2[0] * F.col("n1") - d2[1] * F.col("n2") - d2[2] * F.col("n3")
     c = F.col("before")
-    facts = words.agg(F.sum(c).alias("every"), F.count_if(c > 0).alias("types"), *(F.count_if(c == k).alias(f"n{k}") for k in range(1, LOW_COUNTS + 1)), F.count_if(c >= 3).alias("more")).first()
+    facts = words.agg(F.sum(c).alias("every"), F.count_if(c > 0).alias("types"), *(F.count_if(c == k).alias(f"n{k}") for k in range(1, LOW_COUNTS + 1)), F.count_if(c >= 3).alias("more"), F.count("*").alias("words")).first()
     every, d1 = float(facts["every"] or 0), discounts([facts[f"n{k}"] for k in range(1, LOW_COUNTS + 1)])
     left = (facts["n1"] * d1[0] + facts["n2"] * d1[1] + facts["more"] * d1[2]) or 1.0
     unknown = left / max(every, 1.0) / (facts["types"] + 1)
-    gamma = F.when(F.col("total") > 0, F.greatest(1 - F.coalesce("own", F.lit(0.0)) / F.col("total"), F.lit(1e-9))).otherwise(1.0)
+    gamma = F.when(F.col("total") > 0, F.greatest(1 - own / F.col("total"), F.lit(1e-9))).otherwise(1.0)
     words = words.select("v", "before", "total", F.log(gamma).alias("log_gamma"), F.log((c - _discount(c, d1)) / F.lit(max(every, 1.0)) + F.lit(unknown)).alias("log_p1"))
     fixed = lambda x: F.round(x * UNIT).cast("long").alias("value")
     single = words.select(F.col("v").alias("key"), F.greatest("total", "before").alias("freq"), fixed(F.col("log_gamma") + F.when(F.col("v") == START, 0.0).otherwise(F.col("log_p1") - float(np.log(unknown)))))
+    if facts["words"] <= SENT_WORDS:
+        return single.union(valued(pairs, words, d2)), float(np.log(unknown))
     context = words.select("v", "total", "log_gamma")
     word = words.select(F.col("v").alias("w"), "log_p1")
-    joined = pairs.select("key", "v", "w", "c").join(context, "v").join(word, "w")
+    joined = pairs.withColumn("v", F.shiftrightunsigned("key", 32)).join(context, "v").drop("v").withColumn("w", F.col("key").bitwiseAND(0xFFFFFFFF)).join(word, "w")
     own = (F.col("c") - _discount(F.col("c"), d2)) / F.col("total")
     double = joined.select("key", F.col("c").alias("freq"), fixed(F.log1p(own * F.exp(-F.col("log_gamma") - F.col("log_p1")))))
     return materialize(single.union(double)), float(np.log(unknown))
 
 
-def hot_values(table: DataFrame, most: int) -> tuple[Column, np.ndarray, np.ndarray]:
-    """(condition, keys, values) of the about `most` most frequent n-grams; of the last frequency that has room those of the smallest key hash."""
+def valued(pairs: DataFrame, words: DataFrame, d: list[float]) -> DataFrame:
+    """(key, freq, value) of pairs (key, c), each time that they are read, by facts of few words (v, total, log_gamma, log_p1)."""
+    rows = words.select("v", F.log("total").alias("log_total"), "log_gamma", "log_p1").toArrow()
+    v = rows["v"].to_numpy()
+    order = np.argsort(v)
+    facts = [rows[c].to_numpy()[order] for c in ("log_total", "log_gamma", "log_p1")]
+    held = pairs.sparkSession.sparkContext.broadcast((v[order].astype(np.uint32), facts[0] + facts[1], facts[2]))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, context, log_p1 = held.value
+        for batch in batches:
+            key, c = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
+            first, second = (np.searchsorted(words, x.astype(np.uint32)) for x in (key >> U64(32), key & U64(0xFFFFFFFF)))
+            own = np.log(c - np.array([0.0, *d])[np.minimum(c, 3)])
+            value = np.round(np.log1p(np.exp(own - context[first] - log_p1[second])) * UNIT).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], names=["key", "freq", "value"])
+
+    return pairs.mapInArrow(tidy(local), "key long, freq long, value long")
+
+
+def hot_values(table: DataFrame, most: int) -> tuple[Column, np.ndarray, np.ndarray, int]:
+    """(condition, keys, values, how many are left) of the about `most` most frequent n-grams; of the last frequency that has room those of the smallest key hash."""
     by = table.groupBy(F.least("freq", F.lit(1 << 16)).alias("f")).count().orderBy("f").collect()  # one row a frequency
     least, n, share = (1 << 16) + 1, 0, 0
     for r in reversed(by):
@@ -181,14 +207,14 @@ def hot_values(table: DataFrame, most: int) -> tuple[Column, np.ndarray, np.ndar
     rows = table.where(hot).select("key", F.col("value").cast("int")).toArrow()
     keys, got = rows["key"].to_numpy().view(U64), rows["value"].to_numpy()
     order = np.argsort(keys)
-    return hot, keys[order], got[order]
+    return hot, keys[order], got[order], sum(r["count"] for r in by) - len(keys)
 
 
 def log_probabilities(docs: DataFrame, model: DataFrame, unknown: float, hot: int = HOT) -> DataFrame:
     """(doc_id, lang, n_words, log_prob) per row of docs (doc_id, text, lang; a long column key is handed on)."""
-    chosen, keys, got = hot_values(model, hot)
-    tail = materialize(model.where(~chosen).select("key", "value"))
-    bits = repeat_filter(tail, "key", tail.count(), PROBES, max_bits=MAX_BITS, least=1)
+    chosen, keys, got, left = hot_values(model, hot)
+    tail = model.where(~chosen).select("key", "value")
+    bits = repeat_filter(tail, "key", left, PROBES, max_bits=MAX_BITS, least=1)
     held = docs.sparkSession.sparkContext.broadcast((keys, got, bits))
     more = [c for c in docs.columns if c == "key"]
     kind = "row long, doc_id long, lang string, " + "".join(f"{c} long, " for c in more) + "n_words long, base long, keys array<long>, many array<int>"
@@ -247,7 +273,7 @@ def thresholds(judged: DataFrame, quantiles: tuple[float, ...], default: float,
     return gains.select("lang", F.when(F.col("bad") > 0, F.get("p", F.array_position("gain", F.array_max("gain")).cast("int") - 1)).otherwise(F.col("p")[len(order)]).alias("hi"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", quantile: float = 0.99, quantiles: tuple[float, ...] = QUANTILES, least: int = 30, least_count: int = 2, hot: int = HOT, keep: str | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", quantile: float = 0.99, quantiles: tuple[float, ...] = QUANTILES, least: int = 30, hot: int = HOT, keep: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id (or the long column `keep`), lang, n_words, log_perplexity (per word and the end), threshold, kept.
 
     Kept are documents with words whose log perplexity is at most its language's threshold (see
@@ -261,7 +287,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     ids = materialize(trusted_ids(labels, doc_id, quality))
     texts = training_text(docs, ids.where("q = 1 and half = 0"))
     shards = pow2_at_least(max(4, text_bytes(texts) / SHARD_BYTES))
-    model, unknown = values(ngram_table(texts, shards, least_count))
+    model, unknown = values(ngram_table(texts, shards))
     scored = materialize(log_probabilities(docs, model, unknown, hot).withColumn("log_perplexity", -F.col("log_prob") / (F.col("n_words") + 1)))
     judge = ids.where("half = 1 or q = 0").select("doc_id", "q")
     judge = materialize(scored.where("n_words > 0").join(judge, "doc_id").select("lang", "q", F.col("log_perplexity").alias("x")))
