@@ -15,8 +15,10 @@ and log P1(unknown) for each position. All bigrams are modelled, those seen once
 counted in shards by their hash, which also tell what discounts their words need. Values of bigrams are
 derived from those counts where they are read, so that no further copy of them is written: facts of
 words are sent everywhere while few, joined beyond. The values of the most frequent `hot` n-grams are broadcast, the
-others joined: a document sends only n-grams that a Bloom filter of bounded size lets pass. Values are
-fixed-point numbers, so sums do not depend on their order.
+others joined: a document sends only n-grams that a Bloom filter of bounded size lets pass, and of the
+model only those are sent that such a filter of what documents ask for lets pass. A training document
+has no bigram that the model lacks: one that was not seen more often was seen once, which needs no
+look-up. Values are fixed-point numbers, so sums do not depend on their order.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,6 +153,11 @@ def _discount(c: Column, d: list[float]) -> Column:
 
 def values(table: DataFrame) -> tuple[DataFrame, float]:
     """((key, freq, value) of each n-gram of the model, log probability of an unknown word)."""
+    return model_of(table)[:2]
+
+
+def model_of(table: DataFrame) -> tuple[DataFrame, float, Broadcast | None]:
+    """The same, and the facts of words, if they are few."""
     low = {r["key"]: r["n"] for r in table.where(F.col("kind") == TOTAL).groupBy("key").agg(F.sum("a").alias("n")).collect()}
     d2 = discounts([low.get(k, 0) for k in range(1, LOW_COUNTS + 1)])
     pairs = table.where(F.col("kind") == PAIR).select("key", F.col("a").alias("c"))
@@ -165,30 +174,39 @@ def values(table: DataFrame) -> tuple[DataFrame, float]:
     fixed = lambda x: F.round(x * UNIT).cast("long").alias("value")
     single = words.select(F.col("v").alias("key"), F.greatest("total", "before").alias("freq"), fixed(F.col("log_gamma") + F.when(F.col("v") == START, 0.0).otherwise(F.col("log_p1") - float(np.log(unknown)))))
     if facts["words"] <= SENT_WORDS:
-        return single.union(valued(pairs, words, d2)), float(np.log(unknown))
+        held = sent_facts(words, d2)
+        return single.union(valued(pairs, held)), float(np.log(unknown)), held
     context = words.select("v", "total", "log_gamma")
     word = words.select(F.col("v").alias("w"), "log_p1")
     joined = pairs.withColumn("v", F.shiftrightunsigned("key", 32)).join(context, "v").drop("v").withColumn("w", F.col("key").bitwiseAND(0xFFFFFFFF)).join(word, "w")
     own = (F.col("c") - _discount(F.col("c"), d2)) / F.col("total")
     double = joined.select("key", F.col("c").alias("freq"), fixed(F.log1p(own * F.exp(-F.col("log_gamma") - F.col("log_p1")))))
-    return materialize(single.union(double)), float(np.log(unknown))
+    return materialize(single.union(double)), float(np.log(unknown)), None
+
 
+def pair_values(key: np.ndarray, c: np.ndarray, facts: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Values of bigrams counted c times, by the sent facts of words."""
+    words, context, log_p1, d = facts
+    first, second = (np.searchsorted(words, x.astype(np.uint32)) for x in (key >> U64(32), key & U64(0xFFFFFFFF)))
+    own = np.log(c - d[np.minimum(c, 3)])
+    return np.round(np.log1p(np.exp(own - context[first] - log_p1[second])) * UNIT).astype(np.int64)
 
-def valued(pairs: DataFrame, words: DataFrame, d: list[float]) -> DataFrame:
-    """(key, freq, value) of pairs (key, c), each time that they are read, by facts of few words (v, total, log_gamma, log_p1)."""
+
+def sent_facts(words: DataFrame, d: list[float]) -> Broadcast:
+    """Facts of few words (v, total, log_gamma, log_p1), and the discounts."""
     rows = words.select("v", F.log("total").alias("log_total"), "log_gamma", "log_p1").toArrow()
     v = rows["v"].to_numpy()
     order = np.argsort(v)
     facts = [rows[c].to_numpy()[order] for c in ("log_total", "log_gamma", "log_p1")]
-    held = pairs.sparkSession.sparkContext.broadcast((v[order].astype(np.uint32), facts[0] + facts[1], facts[2]))
+    return words.sparkSession.sparkContext.broadcast((v[order].astype(np.uint32), facts[0] + facts[1], facts[2], np.array([0.0, *d])))
+
+
+def valued(pairs: DataFrame, held: Broadcast) -> DataFrame:
+    """(key, freq, value) of pairs (key, c), each time that they are read."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, context, log_p1 = held.value
         for batch in batches:
-            key, c = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
-            first, second = (np.searchsorted(words, x.astype(np.uint32)) for x in (key >> U64(32), key & U64(0xFFFFFFFF)))
-            own = np.log(c - np.array([0.0, *d])[np.minimum(c, 3)])
-            value = np.round(np.log1p(np.exp(own - context[first] - log_p1[second])) * UNIT).astype(np.int64)
+            value = pair_values(batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy(), held.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], names=["key", "freq", "value"])
 
     return pairs.mapInArrow(tidy(local), "key long, freq long, value long")
@@ -210,12 +228,20 @@ def hot_values(table: DataFrame, most: int) -> tuple[Column, np.ndarray, np.ndar
     return hot, keys[order], got[order], sum(r["count"] for r in by) - len(keys)
 
 
-def log_probabilities(docs: DataFrame, model: DataFrame, unknown: float, hot: int = HOT) -> DataFrame:
-    """(doc_id, lang, n_words, log_prob) per row of docs (doc_id, text, lang; a long column key is handed on)."""
+def log_probabilities(docs: DataFrame, model: DataFrame, unknown: float, hot: int = HOT, facts: Broadcast | None = None, training: DataFrame | None = None) -> DataFrame:
+    """(doc_id, lang, n_words, log_prob) per row of docs (doc_id, text, lang; a long column key is handed on).
+
+    `facts` of words and the ids of the `training` documents, both few, spare these the look-up of what was seen once; the model then has all their bigrams.
+    """
     chosen, keys, got, left = hot_values(model, hot)
     tail = model.where(~chosen).select("key", "value")
-    bits = repeat_filter(tail, "key", left, PROBES, max_bits=MAX_BITS, least=1)
-    held = docs.sparkSession.sparkContext.broadcast((keys, got, bits))
+    filters = [repeat_filter(tail, "key", left, PROBES, max_bits=MAX_BITS, least=1)]
+    trained = np.empty(0, np.int64)
+    if facts is not None and training is not None:
+        more = model.where(~chosen & ((F.col("freq") > 1) | (F.shiftrightunsigned("key", 32) == 0))).select("key")
+        filters.append(repeat_filter(more, "key", more.count(), PROBES, max_bits=MAX_BITS, least=1))
+        trained = np.sort(training.toArrow()["doc_id"].to_numpy())
+    held = docs.sparkSession.sparkContext.broadcast((keys, got, filters, trained))
     more = [c for c in docs.columns if c == "key"]
     kind = "row long, doc_id long, lang string, " + "".join(f"{c} long, " for c in more) + "n_words long, base long, keys array<long>, many array<int>"
     lists = {"keys": pa.int64(), "many": pa.int32()}
@@ -229,9 +255,16 @@ def log_probabilities(docs: DataFrame, model: DataFrame, unknown: float, hot: in
         at = pa.array(np.searchsorted(doc[head], np.arange(n + 1)).astype(np.int32))
         return pa.ListArray.from_arrays(at, pa.array(key[head].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(many))
 
+    def passes(key: np.ndarray, bits: tuple[np.ndarray, int]) -> np.ndarray:
+        spot = _positions(key, bits[1], PROBES).astype(np.int64)
+        return ((bits[0][spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, got, (array, width) = held.value
+        keys, got, filters, trained = held.value
         for batch in batches:
+            at = np.searchsorted(trained, ids := pc.fill_null(batch.column(1), 0).to_numpy())
+            at[at == len(trained)] = 0
+            trains = (trained[at] == ids) & pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False) if len(trained) else np.zeros(len(ids), bool)
             for a, b, x, off, lens in sequences(batch.column(2)):
                 doc = np.repeat(np.arange(b - a), lens + 2)
                 inside = x[:-1] != END
@@ -244,8 +277,12 @@ def log_probabilities(docs: DataFrame, model: DataFrame, unknown: float, hot: in
                 hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
                 base = np.bincount(doc[hit], got[at[hit]], b - a).astype(float)
                 rest, where = key[~hit], doc[~hit]
-                spot = _positions(rest, width, PROBES).astype(np.int64)
-                may = ((array[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1).all(axis=0)
+                may = passes(rest, filters[0])
+                if trains[a:b].any():
+                    once = np.flatnonzero(trains[a:b][where] & (rest >> U64(32) > 0))
+                    once = once[~passes(rest[once], filters[1])]
+                    base += np.bincount(where[once], pair_values(rest[once], np.ones(len(once), np.int64), facts.value), b - a)
+                    may[once] = False
                 base += np.round(unknown * UNIT) * (lens + 1)
                 arrays = [*(batch.column(i).slice(a, b - a) for i in (0, 1, 3, *range(4, 4 + len(more)))), pa.array(lens.astype(np.int64)), pa.array(base.astype(np.int64)), *grouped(where[may], rest[may], b - a)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "lang", *more, "n_words", "base", *lists])
@@ -253,6 +290,9 @@ def log_probabilities(docs: DataFrame, model: DataFrame, unknown: float, hot: in
     asked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "lang", *more)
     asked = materialize(asked.mapInArrow(tidy(score), kind))
     each = asked.select("row", F.explode(F.arrays_zip("keys", "many")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.many").alias("many"))
+    n = asked.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
+    if 2 * n < left:  # few ask: only what they may ask for is dealt out
+        tail = tail.where(possibly_repeated(tail, "key", repeat_filter(each.select("key"), "key", n, PROBES, max_bits=MAX_BITS, least=1), PROBES))
     rest = each.join(tail, "key").groupBy("row").agg(F.sum(F.col("many") * F.col("value")).alias("rest"))
     out = asked.select("row", "doc_id", "lang", *more, "n_words", "base").join(rest, "row", "left")
     return out.select("doc_id", "lang", *more, "n_words", ((F.col("base") + F.coalesce("rest", F.lit(0).cast("long"))) / UNIT).alias("log_prob"))
@@ -287,8 +327,10 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     ids = materialize(trusted_ids(labels, doc_id, quality))
     texts = training_text(docs, ids.where("q = 1 and half = 0"))
     shards = pow2_at_least(max(4, text_bytes(texts) / SHARD_BYTES))
-    model, unknown = values(ngram_table(texts, shards))
-    scored = materialize(log_probabilities(docs, model, unknown, hot).withColumn("log_perplexity", -F.col("log_prob") / (F.col("n_words") + 1)))
+    model, unknown, facts = model_of(ngram_table(texts, shards))
+    training = ids.where("q = 1 and half = 0").select("doc_id")
+    training = training if training.count() <= BROADCAST_IDS else None
+    scored = materialize(log_probabilities(docs, model, unknown, hot, facts, training).withColumn("log_perplexity", -F.col("log_prob") / (F.col("n_words") + 1)))
     judge = ids.where("half = 1 or q = 0").select("doc_id", "q")
     judge = materialize(scored.where("n_words > 0").join(judge, "doc_id").select("lang", "q", F.col("log_perplexity").alias("x")))
     by_lang = thresholds(judge.where("lang is not null"), quantiles, quantile, least).withColumnRenamed("lang", "language")

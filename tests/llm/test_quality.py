@@ -40,3 +40,15 @@ def test_values_are_the_same_sent_and_joined(spark, monkeypatch):
     one, two = ({r["key"]: (r["freq"], r["value"]) for r in x.collect()} for x in (sent, joined))
     assert unknown == same and one.keys() == two.keys() and len(one) > 100
     assert all(one[k][0] == two[k][0] and np.isclose(one[k][1], two[k][1], atol=1) for k in one)
+
+
+@pytest.mark.parametrize("hot", [0, 40])
+def test_training_documents_need_no_look_up_of_what_was_seen_once(spark, hot):
+    """Before, every bigram of a training document was sent through a join, most of them to say that they were seen once."""
+    rows = [(i, " ".join(f"w{(7 * i + j * j) % 61}x{i % 3}" for j in range(20)), "en") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (None, rows[1][1], "en"), (2, rows[2][1], "en"), (99, None, "en")], SCHEMA).repartition(3)
+    training = spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long")
+    model, unknown, facts = quality_lm.model_of(quality_lm.ngram_table(docs.join(training, "doc_id").select("text"), 4))
+    key = lambda r: (str(r["doc_id"]), r["n_words"], r["log_prob"])
+    plain, spared = (sorted(map(key, quality_lm.log_probabilities(docs, model, unknown, hot, *more).collect())) for more in ((), (facts, training)))
+    assert plain == spared and len(plain) == 63
