@@ -154,3 +154,26 @@ def test_search_keeps_equally_near_ones_by_turn():
         far = sorted((float(np.round(math.dist(x, p), 12)), f"{i * 7 % 300:03}", f"c{i}") for i, p in enumerate(points))
         mine = [(r["distance"], r["control_turn"], r["control"]) for r in got if r["event_id"] == who]
         assert mine == [t for t in far if t[0] <= within][:k]
+
+
+def test_only_those_left_short_look_for_more(spark, monkeypatch):
+    """Of 200 nearest controls most positives need the first few: no more are looked for, nor moved."""
+    rows = [(f"p{i}", 1, float(i % 10), 1.0, 1.0) for i in range(60)] + [(f"n{i}", 0, i / 40, 1.0, 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id string, label int, sender_age_days double, sender_outbound_count double, sender_median_out_usd double")
+    asked, look = [], nearest.candidates
+    monkeypatch.setattr(nearest, "candidates", lambda positives, slabs: asked.append([r["k"] for r in positives.select("k").collect()]) or look(positives, slabs))
+    got = {(r["event_id"], r["control"]) for r in nearest.match_nearest(df, 2, slab_rows=50).collect()}
+    assert asked[0] == [8] * 60 and all(len(k) < 60 for k in asked[1:])
+    assert got == plain_match([(*r, "-") for r in rows], 2)
+
+
+def test_boxes_are_close_on_all_sides():
+    import numpy as np
+
+    points, nodes = np.random.default_rng(1).random((4096, 4)), []
+    nearest.grown(points, 64, nodes)
+    leaves = [n for n in nodes if n[0] < 0]
+    assert len(leaves) == 64 and {n[0] for n in nodes} == {-1, 0, 1, 2}
+    alike, nodes = np.column_stack([np.ones((100, 3)), np.arange(100)]), []
+    nearest.grown(alike, 10, nodes)
+    assert {n[0] for n in nodes} == {-1, 3} and sum(n[0] < 0 for n in nodes) >= 10
