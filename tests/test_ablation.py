@@ -53,3 +53,21 @@ def test_destinations_without_a_past(spark):
     got = ablation.unseen_destinations(train, test, PARAMS).collect()
     assert [(r["arm"], r["n"]) for r in got] == [("sender_side_only", test.where("dest_senders_all <= 1 and label is not null").count())]
     assert ablation.unseen_destinations(train, test.limit(20), PARAMS).count() == 0
+
+
+def test_the_query_does_the_whole_job(spark, monkeypatch):
+    """All columns, all four arms, the parameters of the ablation itself."""
+    from riskweave.operators.features import FEATURE_COLUMNS
+    from riskweave.plans import scores
+
+    asked = []
+
+    def run(train, test, *parameters):
+        asked.append((train, test, parameters))
+        return spark.createDataFrame([("full", 75)], "arm string, n_features int")
+
+    monkeypatch.setattr(scores.ablation, "run_ablation", run)
+    assert scores.j11_ablation(spark, "/root/testdata/sf0.001").count() == 1
+    train, test, parameters = asked[0]
+    assert not parameters and set(FEATURE_COLUMNS) <= set(train.columns) & set(test.columns)
+    assert {"label", "sender", "destination", "transfer_k"} <= set(test.columns)

@@ -194,3 +194,13 @@ def test_contributions_in_spark_add_up(spark):
     base = shapley.base_of(model)
     for r in shapley.contributions(boosting.score(df, model), model).collect():
         assert base + sum(r["contributions"]) == pytest.approx(r["margin"], abs=1e-9)
+
+
+def test_sets_are_fitted_alike_in_a_task_and_by_levels(spark):
+    """One task a set for few rows, a job a level for many: the same trees, as sums are whole numbers."""
+    params = boosting.Params(rounds=5, depth=4, leaves=9, least_rows=10, learning_rate=0.3, write_every=2)
+    sets = [FEATURES, ["c", "a"]]
+    df = frame(spark, labelled(400, 8))
+    few, many = (boosting.fit_sets(df, sets, params=params, task_cells=n) for n in (boosting.TASK_CELLS, 0))
+    assert few == many and [m["features"] for m in few] == sets and all(len(m["trees"]) == 5 for m in few)
+    assert few[1] == boosting.fit(df, sets[1], params=params)
