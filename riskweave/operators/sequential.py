@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .legs import sequential_evidence
 from .metrics import by_score, early_detection, thresholds_at_fpr
+from .store import written
 
 EPS = 1e-6
 
@@ -38,7 +39,7 @@ class LogitModel:
 
 def fit_logit(rows: DataFrame, label: str = "label", score: str = "score") -> LogitModel:
     """Logistic regression on the logit, slope penalised by slope^2 / 2 over all rows; fitted on the counts of distinct scores. Needs both labels."""
-    counts = by_score(rows.where(F.col(label).isin(0, 1) & F.col(score).isNotNull()), label, score)
+    counts = written(by_score(rows.where(F.col(label).isin(0, 1) & F.col(score).isNotNull()), label, score))
     each = F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col("pos").cast("double").alias("w")), F.struct(F.lit(0.0).alias("y"), F.col("neg").cast("double").alias("w"))))
     data = counts.select(array_to_vector(F.array(logit(F.col("score").cast("double")))).alias("z"), each.alias("x")).select("z", "x.y", "x.w").where("w > 0")
     pos, neg = counts.agg(F.sum("pos"), F.sum("neg")).first()

@@ -17,9 +17,9 @@ BUDGETS = [0.005, 0.01, 0.02, 0.05, 0.1]
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten payments of each pair with label (a supplier whose key divides by 7) and a score."""
-    rows = L.payments_as_events(D.derive_transfers(spark, sf_dir)).withColumn("label", (F.substring("destination", 2, 20).cast("long") % 7 == 0).cast("long"))
-    rows = rows.withColumn("score", (F.col("cents") % 1000 + 250 * F.col("label") * (F.col("cents") % 2)) / 1250.0)
-    return L.transfer_position(rows)
+    rows = L.transfer_position(L.payments_as_events(D.derive_transfers(spark, sf_dir)))  # before columns that follow from others, which would be moved too
+    rows = rows.withColumn("label", (F.substring("destination", 2, 20).cast("long") % 7 == 0).cast("long"))
+    return rows.withColumn("score", (F.col("cents") % 1000 + 250 * F.col("label") * (F.col("cents") % 2)) / 1250.0)
 
 
 BASE = """, sc AS (
