@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .asof import looked_up
 from .labels import mean_differences
 from .nearest import COVARIATES, match_nearest
 from .store import written
@@ -22,7 +23,7 @@ def slices(test: DataFrame, train: DataFrame) -> DataFrame:
     """test's rows with `slice`, once for each slice they are in: SLICES, and unseen_destinations, those to a destination that train has not. Unknown facts are in no slice; a null destination counts as unseen."""
     named = F.explode(F.filter(F.array(*(F.when(F.expr(c), F.lit(n)) for n, c in SLICES.items()), F.when(F.col("seen").isNull(), F.lit("unseen_destinations"))), lambda s: s.isNotNull()))
     known = train.select("destination").distinct().withColumn("seen", F.lit(True))
-    return test.join(known, "destination", "left").withColumn("slice", named).select(*test.columns, "slice")
+    return looked_up(test, known, ["destination"]).withColumn("slice", named).select(*test.columns, "slice")
 
 
 def balanced_ratio(rows: DataFrame, covariates: list[str] = COVARIATES, stratum: Column | None = None, seed: int = 17, ratios: tuple[int, ...] = RATIOS) -> tuple[int, float, DataFrame]:

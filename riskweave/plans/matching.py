@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskweave.operators import legs as L
-from riskweave.operators import nearest, order, probes, resampling, sampling, slices
+from riskweave.operators import asof, nearest, order, probes, resampling, sampling, slices
 from riskweave.operators.store import written
 from riskweave.sources import driver_tables as D
 from riskweave.sources import pages
 
-from .catalog import DEST_SQL, query, scored_events
+from .catalog import DEST_SQL, _engine, query, scored_events
 
 DAY = D.DAY
 MIDDLE = 820_454_400_000  # the first day of 1996
@@ -118,10 +118,8 @@ SELECT event_id, 'hard_negatives' AS slice FROM late WHERE label = 1 OR dest_sen
 UNION ALL SELECT event_id, 'unseen_destinations' FROM late WHERE destination NOT IN (SELECT destination FROM t WHERE early AND CAST(substr(destination, 2) AS BIGINT) % 4 <> 1)""")
 def b12_slices(spark, sf_dir):
     """Slices of the payments after the middle of the years; a quarter of the suppliers is not trained on."""
-    events = scored_events(spark, sf_dir)
-    n = F.substring("destination", 2, 20).cast("long")
-    first = events.groupBy("sender", "destination").agg(F.min("event_time").alias("since"))
-    rows = events.withColumn("label", (n % 7 == 0).cast("int")).join(first, ["sender", "destination"]).withColumn("is_first_send_to_dest", (F.col("event_time") == F.col("since")).cast("int"))
-    rows = rows.select("event_id", "destination", "event_time", "label", "dest_senders_all", "is_first_send_to_dest")
-    early = F.col("event_time") < MIDDLE
-    return slices.slices(rows.where(~early), rows.where(early & (n % 4 != 1))).select("event_id", "slice")
+    engine, events = _engine(spark, sf_dir)
+    n, early = F.substring("destination", 2, 20).cast("long"), F.col("event_time") < MIDDLE
+    late = written(L.first_sends(events).where(~early).drop("sender", "cents"))  # the slices read no facts of earlier ones
+    rows = asof.destination_block(late, engine.legs, ("destination", "event_time", "is_first_send_to_dest")).withColumn("label", (n % 7 == 0).cast("int"))
+    return slices.slices(rows.select("event_id", "destination", "event_time", "label", "dest_senders_all", "is_first_send_to_dest"), events.where(early & (n % 4 != 1))).select("event_id", "slice")
