@@ -69,3 +69,14 @@ def test_what_was_shuffled_for_a_table_is_dropped_once_it_is_written(spark):
     before = size()
     out = written(spark.range(400_000).select(F.md5(F.col("id").cast("string")).alias("x")).repartition(4, "x"))
     assert out.count() == 400_000 and size() - before < 4000  # some 13 MB were shuffled
+
+
+def test_scores_and_payees_are_dealt_out_packed(spark):
+    """The sender's count was told by windows over rows and joined on the event; payees' counts were folded once more."""
+    from riskweave.operators import legs as L
+    from riskweave.plans import scores
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan(scores.l1_scores(spark, "/root/testdata/sf0.001"))
+    tx = D.kept(D.derive_transfers(spark, "/root/testdata/sf0.001"))
+    assert "FlatMapGroups" not in plan(asof.payout_fanin(L.payments_as_events(tx), L.legs(L.clean(tx))))
